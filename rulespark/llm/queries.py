@@ -6,16 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespark.llm import simhash
-from rulespark.llm.common import table
+from rulespark.llm import bestfit, packing, rollup, simhash
+from rulespark.llm.common import scratch, table
+
+
+def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_matrices(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted as one batch, which is then retried: the second commit adds nothing."""
+    counts = rollup.inserts(rollup.count_tokens(table(spark, sf_dir, "documents")))
+    totals = rollup.TokenRollup(spark, scratch(spark, "token-rollup"))
+    totals.commit("load-1", counts)
+    totals.commit("load-1", counts)
+    return totals.totals()
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_near_dedup": op3_simhash_near_dedup}
+    return {
+        name: f
+        for name, f in sorted(globals().items())
+        if name.startswith("op") and name[2].isdigit()
+    }
 
 
 def oracle_sql() -> dict[str, str]:
