@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rulespark.llm import bestfit, decontam, packing, pii, rollup, simhash
-from rulespark.llm.common import scratch, table
+from rulespark.llm import bestfit, decontam, gbdt, langid, packing, pii, rollup, simhash
+from rulespark.llm.common import crc_fold, scratch, table
 
 
 def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _fold_is(doc_id: str, folds: int, fold: int):
+    return F.coalesce(crc_fold(F.col(doc_id), folds) == fold, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _fold_is("doc_id", 3, 1)
+    model = langid.fit(docs, ~held_out)
+    found = langid.predict(docs.select("doc_id", "text"), model, ("lang_pred", "score", "ambiguous"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"))
 
@@ -68,6 +81,13 @@ FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = _fold_is("doc_id", 5, 0)
+    found = gbdt.quality(docs.select("doc_id", "text"), labels.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
