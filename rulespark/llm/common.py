@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulespark.runtime import ship
+
 #: Bytes of text that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 8 << 20
 #: Rows in one Arrow batch, at most.
@@ -20,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker's memory does not follow text length."""
+    """Keep Arrow batches small, so that a worker's memory does not follow text length; and see
+    that workers have this package."""
+    ship(spark)
     for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(name, None)
