@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bestfit, decontam, gbdt, langid, packing, pii, rollup, simhash
+from rulespark.llm import ann, bestfit, decontam, gbdt, html_extract, langid, packing, pii, rollup, simhash
 from rulespark.llm.common import crc_fold, scratch, table
 
 
@@ -28,6 +28,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 def _fold_is(doc_id: str, folds: int, fold: int):
     return F.coalesce(crc_fold(F.col(doc_id), folds) == fold, F.lit(False))
 
@@ -81,6 +85,10 @@ FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
 """
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = _fold_is("doc_id", 5, 0)
