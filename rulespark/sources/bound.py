@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ class Source:
     def rows(self) -> DataFrame:
         """Null is no item, in the value or in a key."""
         needed = [c for c in (*self.keys, self.value) if c is not None]
-        return self.frame.dropna(subset=needed) if needed else self.frame
+        return reduce(lambda f, c: f.where(F.col(c).isNotNull()), needed, self.frame)
 
     def items(self, shape: Shape) -> DataFrame:
         return self.rows().select(*self.columns(shape))
