@@ -184,6 +184,7 @@ class Evaluation:
             return
         members = set(names)
         plans = [p for n in names for p in self.program.plans.get(n, []) if p.rule.mentions() & members]
+        self.settle_inputs({m for p in plans for m in p.rule.mentions()} - members)
         kinds = {self.program.aggregators[n] for n in names}
         plain = all(self.program.shapes[n].value != "term" and n not in self.program.nullable for n in names)
         if kinds <= {"min=", "max=", ":-"} and len(kinds) == 1 and plain and all(monotone(p, members) for p in plans):
@@ -191,6 +192,14 @@ class Evaluation:
         else:
             self.snapshots(names)
 
+    def settle_inputs(self, names: set[str]) -> None:
+        """Derived relations that every round reads are computed once, before the first."""
+        for n in sorted(names & set(self.relations)):
+            relation = self.relations[n]
+            if not relation.settled and not (n in self.program.sources and self.program.sources[n].direct):
+                relation.frame = state.hold(self._typed(n, relation.frame), len(relation.shape.args)).frame
+                relation.settled = True
+
     def single(self, name: str) -> None:
         source = self.program.sources.get(name)
         relation = Relation(name, self.program.shapes[name])
@@ -203,6 +212,8 @@ class Evaluation:
                     self.program.rule_errors[name] = relation.errors
                 return
             relation.frame, relation.failed = self.fold(name, frames)
+            if self.program.aggregators[name] == ":-" and all(_surely_true(p) for p in self.program.plans.get(name, [])):
+                relation.raw = reduce(DataFrame.unionByName, frames)
         self.relations[name] = relation
 
     def schema(self, name: str) -> T.StructType:
@@ -213,10 +224,13 @@ class Evaluation:
         return T._parse_datatype_string(", ".join(parts))
 
     def _typed(self, name: str, frame: DataFrame) -> DataFrame:
-        return frame.select(*(F.col(f.name).cast(f.dataType) for f in self.schema(name)))
+        wanted = self.schema(name)
+        if [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in wanted]:
+            return frame
+        return frame.select(*(F.col(f.name).cast(f.dataType) for f in wanted))
 
     def put(self, name: str, held: state.Held, errors: list | None = None, failed: DataFrame | None = None) -> None:
-        self.relations[name] = Relation(name, self.program.shapes[name], held.frame, failed, errors or [])
+        self.relations[name] = Relation(name, self.program.shapes[name], held.frame, failed, errors or [], settled=True)
 
     def snapshots(self, names: list[str]) -> None:
         width = {n: len(self.program.shapes[n].args) for n in names}
@@ -341,5 +355,13 @@ class Evaluation:
         return state.Held(state.written(self._typed(name, items)), width, None)
 
 
+def _surely_true(p: Plan) -> bool:
+    """Whether a rule contributes nothing but true: it says so, or its value was tested."""
+    value = p.rule.value
+    if isinstance(value, Const):
+        return value.value is True
+    return any(isinstance(x, Test) and x.what == value for x in p.rule.literals)
+
+
 def _is_fact(p: Plan) -> bool:
     return not p.rule.literals and all(isinstance(x, Const) for x in (*p.rule.args, p.rule.value, *([p.rule.key] if p.rule.key is not None else [])))

@@ -6,14 +6,14 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a round keeps on the driver; more are written to the shared checkpoint folder.
 SMALL = 2000
-#: Rows of a small relation that become literals of the plan.
-INLINE = 150
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,22 +36,21 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def _literal(v, kind: T.DataType):
-    if isinstance(kind, T.ArrayType):
-        return F.array(*(_literal(x, kind.elementType) for x in v or [])).cast(kind) if v is not None else F.lit(None).cast(kind)
-    if isinstance(kind, T.StructType):
-        return F.struct(*(_literal(x, f.dataType).alias(f.name) for x, f in zip(v, kind.fields, strict=True))) if v is not None else F.lit(None).cast(kind)
-    return F.lit(v).cast(kind)
-
-
 def local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A frame of given rows; few of them are literals, which the optimizer can fold."""
+    """A frame of given rows; it goes to the JVM as one Arrow table and is part of the plan."""
     if not rows:
         return spark.createDataFrame([], schema)
-    if len(rows) <= INLINE:
-        structs = [F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields, strict=True))) for r in rows]
-        return spark.range(1).select(F.inline(F.array(*structs)))
-    return spark.createDataFrame(rows, schema).coalesce(max(1, len(rows) // 20_000))
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([_arrow(r[i], f.dataType) for r in rows], arrow.field(i).type) for i, f in enumerate(schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
+def _arrow(v, kind: T.DataType):
+    if v is not None and isinstance(kind, T.StructType):
+        return {f.name: _arrow(x, f.dataType) for f, x in zip(kind.fields, v, strict=True)}
+    if v is not None and isinstance(kind, T.ArrayType):
+        return [_arrow(x, kind.elementType) for x in v]
+    return v
 
 
 @dataclass

@@ -16,6 +16,10 @@ from rulespark.plans.infer import Inference, Unknown
 from rulespark.plans.planner import Plan
 
 
+#: Operations in an expression that is repeated at its uses rather than kept as a column.
+MAX_WEIGHT = 24
+
+
 class Failed(Exception):
     """Every grounding of the rule raises: the types of its values do not fit a built-in."""
 
@@ -30,6 +34,8 @@ class Builder:
         self.env: dict[str, tuple[str, object]] = {}
         self.count = 0
         self.fallible = False
+        self.inlining: set[str] = set()
+        self.weights: dict[str, int] = {}
 
     # --- columns
 
@@ -42,13 +48,24 @@ class Builder:
             t = ty.of_value(x.value)
             return ty.literal(x.value, t), t
         column, t = self.env[x.name]
-        return F.col(column), t
+        return (F.col(column) if isinstance(column, str) else column), t
 
-    def set(self, var: Var, column: Column, t) -> None:
+    def set(self, var: Var, column: Column, t, lazy: bool = False) -> None:
+        """Binds a variable: as a column of the frame or, if ``lazy``, as an expression that is
+        put in where it is used. Expressions that have grown become columns."""
+        if lazy:
+            self.env[var.name] = (column, t)
+            return
         name = self.name()
         self.frame = self.started().withColumn(name, column)
         self.env[var.name] = (name, t)
 
+    def light(self, var: Var, operands: tuple) -> bool:
+        """Whether an expression over the operands is small enough to be repeated."""
+        weight = 1 + sum(self.weights.get(o.name, 1) for o in operands if isinstance(o, Var))
+        self.weights[var.name] = weight if weight <= MAX_WEIGHT else 1
+        return weight <= MAX_WEIGHT
+
     def started(self) -> DataFrame:
         if self.frame is None:
             self.frame = self.spark.range(1).select(F.lit(1).alias("one"))
@@ -84,6 +101,8 @@ class Builder:
         shape = relation.shape
         kind = shape.key if x.key else shape.value
         source = relation.frame if instead is None else instead
+        if instead is None and self.existential(x, relation):
+            source = relation.raw
         if x.key:
             source = source.where(F.col("key").isNotNull())
         picked: list[Column] = []
@@ -114,6 +133,11 @@ class Builder:
             if not isinstance(o, tuple):
                 column, own = self.get(o)
                 on.append(builtins._equal(column, own, F.col(n), t))
+        if self.exists(x, relation, instead, seen, on):
+            # Nothing is taken from the relation: a semi-join, which needs no distinct rows.
+            self.frame = self.frame.join(source, reduce(lambda a, b: a & b, on), "left_semi")
+            self.set(x.out, F.lit(True), "bool", lazy=True)
+            return
         if self.frame is None:
             self.frame = source
         elif on:
@@ -122,6 +146,56 @@ class Builder:
             self.frame = self.frame.crossJoin(source)  # no shared variable: the rule asks for all pairs
         self.env.update(seen)
 
+    def existential(self, x, relation) -> bool:
+        """Whether a scan only asks if an item is there: all its arguments are known."""
+        known = all(isinstance(a, Const) or a.name in self.env for a in x.args)
+        fresh = isinstance(x.out, Var) and x.out.name not in self.env
+        return relation.raw is not None and not x.key and known and fresh and self.frame is not None and bool(x.args)
+
+    def exists(self, x, relation, instead, seen: dict, on: list) -> bool:
+        return instead is None and self.existential(x, relation) and set(seen) <= {x.out.name} and bool(on)
+
+    def inlined(self, name: str, args: list[tuple[Column, object]], to):
+        """A predicate without recursion and generators as one column expression, or None."""
+        plans = self.goals.plans[name]
+        aggregator = plans[0].rule.aggregator if plans else ""
+        if to in ("term", "null") or aggregator not in (":=", "=", "+=", "min=", "max=") or name in self.inlining or (aggregator == "+=" and to not in ty.NUMERIC):
+            return None
+        for p in plans:
+            if any(s.kind not in ("let", "check", "test", "same", "alias", "solve") for s in p.steps):
+                return None
+            if any(s.kind in ("let", "check") and f"{s.literal.op}/{len(s.literal.args)}" in self.goals.plans and s.literal.op == name for s in p.steps):
+                return None
+        alternatives, failures = [], []
+        for p in sorted(plans, key=lambda p: p.rule.rule.index):
+            inner = _Inline(self, {*self.inlining, name})
+            try:
+                found = inner.alternative(p, args, to)
+            except _NotInline:
+                return None
+            alternatives.append(found)
+            failures += inner.failures
+            self.frame, self.count = inner.frame, inner.count
+        error = F.coalesce(*failures) if failures else None
+        values = [F.when(c, v) for c, v in alternatives]
+        if not values:
+            return None
+        if aggregator == ":=":
+            out = F.lit(None).cast(ty.ddl(to))
+            for condition, value in alternatives:
+                out = F.when(condition, value).otherwise(out)
+            return out, error
+        if len(values) == 1:
+            return values[0], error
+        if aggregator == "=":
+            conflict = reduce(lambda a, b: a | b, [F.coalesce(a != b, F.lit(False)) for i, a in enumerate(values) for b in values[:i]])
+            text = F.when(conflict, F.lit("AggregatorError: `=` got conflicting values"))
+            return F.coalesce(*values), text if error is None else F.coalesce(error, text)
+        if aggregator == "+=":
+            total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0).cast(ty.ddl(to))) for v in values])
+            return F.when(F.coalesce(*values).isNotNull(), total), error
+        return (F.least if aggregator == "min=" else F.greatest)(*values), error
+
     def call(self, x) -> tuple[Column, object]:
         args = [self.get(a) for a in x.args]
         name = f"{x.op}/{len(x.args)}"
@@ -129,6 +203,13 @@ class Builder:
             to = self.inference.call(x.op, [t for _, t in args], x.args)
             if to is None:
                 to = "term"
+            found = self.inlined(name, args, to)
+            if found is not None:
+                own = self.name()
+                self.frame = self.started().withColumn(own, found[0])
+                self.note(found[1])
+                self.keep(F.col(own).isNotNull())
+                return F.col(own), to
             goals, op = self.goals, x.op
             column, t, error = builtins.through_python(x.op, args, to, lambda *v: goals.call(op, v))
             held, own = self.name(), self.name()
@@ -150,8 +231,11 @@ class Builder:
         return column, t
 
     def let(self, step) -> None:
-        column, t = self.call(step.literal)
-        self.set(step.target, column, t)
+        x = step.literal
+        before = self.frame
+        column, t = self.call(x)
+        plain = self.frame is before and t != "term" and x.op not in ("uniform", "pycall") and x.op not in self.functions
+        self.set(step.target, column, t, lazy=plain and self.light(step.target, x.args))
 
     def check(self, step) -> None:
         column, t = self.call(step.literal)
@@ -170,7 +254,7 @@ class Builder:
                 column, t, _ = builtins.apply("-", [other, out])
         except builtins.TypeMismatch as e:
             raise Failed(str(e)) from None
-        self.set(step.target, column, t)
+        self.set(step.target, column, t, lazy=t != "term" and self.light(step.target, (x.out, *x.args)))
 
     def each(self, step) -> None:
         source, t = self.get(step.source)
@@ -228,7 +312,7 @@ class Builder:
         if isinstance(step.source, Var):
             self.env[step.target.name] = self.env[step.source.name]
         else:
-            self.set(step.target, *self.get(step.source))
+            self.set(step.target, *self.get(step.source), lazy=True)
 
     def test(self, step) -> None:
         if isinstance(step.literal.what, Const) and step.literal.what.value is True:
@@ -262,7 +346,7 @@ class Builder:
             parts = [F.lit(None).cast("string")] * n
         for operand, part, kind in zip(x.args, parts, kinds, strict=True):
             if isinstance(operand, Var) and operand.name not in self.env:
-                self.set(operand, part, kind)
+                self.set(operand, part, kind, lazy=True)
             else:
                 other, own = self.get(operand)
                 self.keep(builtins._equal(part, kind, other, own))
@@ -291,4 +375,42 @@ class Builder:
         return frame.where("failure is null").select(*out), failed
 
 
+class _NotInline(Exception):
+    pass
+
+
+class _Inline(Builder):
+    """Runs one rule of a predicate over the caller's rows: filters become a condition."""
+
+    def __init__(self, outer: Builder, inlining: set[str]):
+        super().__init__(outer.spark, outer.relations, outer.inference, outer.goals, outer.functions)
+        self.frame, self.count, self.inlining = outer.started(), outer.count, inlining
+        self.condition: Column = F.lit(True)
+        self.failures: list[Column] = []
+
+    def keep(self, condition: Column) -> None:
+        self.condition = self.condition & F.coalesce(condition, F.lit(False))
+
+    def note(self, error: Column | None) -> None:
+        if error is not None:
+            self.failures.append(F.when(self.condition, error))
+
+    def alternative(self, p: Plan, args: list, to) -> tuple[Column, Column]:
+        """(whether the rule has a value, the value)."""
+        for operand, (column, t) in zip(p.rule.args, args, strict=True):
+            if isinstance(operand, Var) and operand.name not in self.env:
+                self.set(operand, column, t)
+            else:
+                other, own = self.get(operand)
+                self.keep(builtins._equal(column, t, other, own))
+        try:
+            self.run(p)
+        except Failed:
+            raise _NotInline from None
+        value, t = self.get(p.rule.value)
+        if ty.unify(t, to) != to:
+            raise _NotInline
+        return self.condition, ty.coerce(value, t, to)
+
+
 __all__ = ["Builder", "Failed", "Unknown"]

@@ -31,6 +31,10 @@ class Relation:
     failed: DataFrame | None = None
     #: Texts of rule errors: frames (rule, message).
     errors: list = field(default_factory=list)
+    #: Held rows or a written table, cheap to read again and again.
+    settled: bool = False
+    #: For true-valued relations: the contributions before the fold, enough for an existence test.
+    raw: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
