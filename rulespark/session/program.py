@@ -66,7 +66,7 @@ class Compiled:
         """Types of all relations, by rounds from the sources and facts on."""
         self.elements: dict[str, Shape] = {name: s.shape() for name, s in self.sources.items()}
         self.shapes: dict[str, Shape] = {}
-        self.nullable = {name for name, s in self.sources.items() if False}
+        self.nullable: set[str] = set()
         for round_ in range(24):
             self.shapes = {n: Shape(list(e.args), item_type(self.aggregators[n], e.value), e.key) for n, e in self.elements.items()}
             self.inference = Inference(self.shapes, goals, self.functions)
@@ -247,6 +247,33 @@ class Program:
 
         return self._commit({full}, change)
 
+    def bind_terms(self, name: str, frame: DataFrame, keys: list[str], value: str) -> Changes:
+        """Like ``bind``, with values that are encoded terms (see ``rulespark.functions.values``)."""
+        full = f"{name}/{len(keys)}"
+        source = Source(frame, list(keys), value, True, None, encoded=True)
+
+        def change() -> None:
+            self.sources[full] = source
+            self.aggregators[full] = "="
+
+        return self._commit({full}, change)
+
+    def load(self, command: str):
+        """``name = tsv("path")`` and the like; see ``rulespark.sources.loaders``."""
+        from rulespark.sources.loaders import load
+
+        return load(self, command)
+
+    def trace(self, text: str, limit: int = 30) -> str:
+        from rulespark.session.trace import trace
+
+        return trace(self, text, limit)
+
+    def solution(self) -> str:
+        from rulespark.session.render import solution
+
+        return solution(self)
+
     def insert(self, name: str, frame: DataFrame) -> Changes:
         """More rows for a bound relation, of its columns."""
         full = name if "/" in name else next(n for n in self.sources if n.split("/")[0] == name)

@@ -23,10 +23,12 @@ class Source:
     value: str | None
     direct: bool
     key: str | None = None
+    #: The value column holds encoded terms.
+    encoded: bool = False
 
     def shape(self) -> Shape:
         kinds = {f.name: ty.of_spark(f.dataType) for f in self.frame.schema}
-        return Shape([kinds[k] for k in self.keys], "bool" if self.value is None else kinds[self.value], None if self.key is None else kinds[self.key])
+        return Shape([kinds[k] for k in self.keys], "term" if self.encoded else "bool" if self.value is None else kinds[self.value], None if self.key is None else kinds[self.key])
 
     def columns(self, shape: Shape) -> list:
         own = self.shape()
