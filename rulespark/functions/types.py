@@ -129,7 +129,7 @@ def encoded(c: Column, t) -> Column:
         return F.concat(F.lit("s"), _quoted(c))
     if t[0] == "list":
         if _has(t, "double"):
-            return from_python(lambda v: encode(v), [(c, t)], "term")
+            return from_python(lambda v: v, [(c, t)], "term")
         return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: encoded(x, t[1])), ","), F.lit("]"))
     if t[0] == "struct":
         parts = [encoded(c.getField(f"p{i}"), x) for i, x in enumerate(t[2])]

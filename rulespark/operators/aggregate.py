@@ -44,7 +44,7 @@ def fold(frame: DataFrame, columns: list[str], t, key, aggregator: str, nullable
     failing: Column | None = None
     if t == "term" and aggregator not in (":=", "=", "majority=") or aggregator in ("min=", "max=") and key == "term":
         return _by_python(frame, columns, t, key, aggregator)
-    message = lambda text: F.concat(F.lit(f"AggregatorError: `{aggregator}` {text} "))
+    message = lambda text: F.lit(f"AggregatorError: `{aggregator}` {text}")
     aggs: dict[str, Column] = {}
     value: Column
     keyed: Column | None = None
@@ -52,7 +52,7 @@ def fold(frame: DataFrame, columns: list[str], t, key, aggregator: str, nullable
         aggs["hi"] = F.max(F.struct(F.col("rule"), v.alias("v")))
         aggs["lo"] = F.min(F.struct((-F.col("rule")).alias("rule"), v.alias("v")))
         value = F.col("hi.v")
-        failing = F.when(~F.col("hi.v").eqNullSafe(F.col("lo.v")), F.concat(message("got conflicting values for rule index"), F.col("hi.rule").cast("string")))
+        failing = F.when(~F.col("hi.v").eqNullSafe(F.col("lo.v")), F.concat_ws(" ", message("got conflicting values for rule index"), F.col("hi.rule").cast("string")))
     elif aggregator == "=":
         aggs["hi"], aggs["lo"] = F.max(v), F.min(v)
         value = F.col("lo")

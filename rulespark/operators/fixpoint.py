@@ -212,7 +212,7 @@ class Evaluation:
                     self.program.rule_errors[name] = relation.errors
                 return
             relation.frame, relation.failed = self.fold(name, frames)
-            if self.program.aggregators[name] == ":-" and all(_surely_true(p) for p in self.program.plans.get(name, [])):
+            if self.program.aggregators[name] == ":-" and all(_surely_true(p, self.program.aggregators) for p in self.program.plans.get(name, [])):
                 relation.raw = reduce(DataFrame.unionByName, frames)
         self.relations[name] = relation
 
@@ -355,12 +355,17 @@ class Evaluation:
         return state.Held(state.written(self._typed(name, items)), width, None)
 
 
-def _surely_true(p: Plan) -> bool:
-    """Whether a rule contributes nothing but true: it says so, or its value was tested."""
+def _surely_true(p: Plan, aggregators: dict[str, str]) -> bool:
+    """Whether a rule contributes nothing but true: it says so, its value is tested, or it is
+    that of a relation that holds nothing else."""
     value = p.rule.value
     if isinstance(value, Const):
         return value.value is True
-    return any(isinstance(x, Test) and x.what == value for x in p.rule.literals)
+    return any(
+        isinstance(x, Test) and x.what == value
+        or isinstance(x, Scan) and x.out == value and not x.key and aggregators.get(f"{x.fn}/{len(x.args)}") == ":-"
+        for x in p.rule.literals
+    )
 
 
 def _is_fact(p: Plan) -> bool:

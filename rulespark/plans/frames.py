@@ -139,7 +139,8 @@ class Builder:
             self.set(x.out, F.lit(True), "bool", lazy=True)
             return
         if self.frame is None:
-            self.frame = source
+            # What is bound so far are constants.
+            self.frame = reduce(DataFrame.where, on, source)
         elif on:
             self.frame = self.frame.join(source, reduce(lambda a, b: a & b, on))
         else:

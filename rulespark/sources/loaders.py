@@ -20,7 +20,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Only counts by partition are gathered: a line's number is its place in its partition and the
     lines before that partition."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.rtrim("value").alias("text"))
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\s+$", "").alias("text"))
     placed = raw.select(F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("own"), "text")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
