@@ -19,6 +19,7 @@ from rulespark.functions import types as ty
 from rulespark.lang.ast import Const, Var
 from rulespark.lang.normal import Call, Scan, Test
 from rulespark.operators import aggregate, state
+from rulespark.plans import asof
 from rulespark.plans.frames import Builder, Failed
 from rulespark.plans.planner import Plan, plan
 from rulespark.plans.relation import Relation, Shape
@@ -144,7 +145,11 @@ class Evaluation:
         name = p.rule.name
         if name not in self.program.elements:
             return None
-        builder = Builder(self.spark, self.relations, self.program.inference, self.program.goals, self.program.functions)
+        if first is None and (found := asof.match(p.rule)):
+            frame = asof.contributions(p.rule, found, self.builder, self.program.elements[name])
+            if frame is not None:
+                return frame
+        builder = self.builder()
         try:
             frame, failed = builder.run(p, first).contributions(p, self.program.elements[name])
         except Failed as e:
@@ -156,6 +161,9 @@ class Evaluation:
             errors.append(failed)
         return frame
 
+    def builder(self) -> Builder:
+        return Builder(self.spark, self.relations, self.program.inference, self.program.goals, self.program.functions)
+
     def fold(self, name: str, frames: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
         elements = self.program.elements[name]
         columns = [f"a{i}" for i in range(len(elements.args))]

@@ -12,6 +12,7 @@ from rulespark.functions import types as ty
 from rulespark.functions import values as vals
 from rulespark.functions.evaluator import Goals, peel
 from rulespark.lang.ast import Const, Var
+from rulespark.lang.normal import Call, Test
 from rulespark.plans.infer import Inference, Unknown
 from rulespark.plans.planner import Plan
 
@@ -24,6 +25,21 @@ class Failed(Exception):
     """Every grounding of the rule raises: the types of its values do not fit a built-in."""
 
 
+def bands(plan: Plan) -> dict[tuple[str, str], float]:
+    """{(low, high): width} of the tested conditions low <= high (or <) and high - low <= width."""
+    calls = [x for x in plan.rule.literals if isinstance(x, Call)]
+    tested = {x.what.name for x in plan.rule.literals if isinstance(x, Test) and isinstance(x.what, Var)}
+    held = [x for x in calls if isinstance(x.out, Var) and x.out.name in tested]
+    before = {(x.args[0], x.args[1]) for x in held if x.op in ("<", "<=")} | {(x.args[1], x.args[0]) for x in held if x.op in (">", ">=")}
+    out = {}
+    for gap in calls:
+        if gap.op == "-" and len(gap.args) == 2 and all(isinstance(a, Var) for a in gap.args) and (gap.args[1], gap.args[0]) in before:
+            for low, width in before:
+                if low == gap.out and isinstance(width, Const) and type(width.value) in (int, float) and width.value > 0:
+                    out[gap.args[1].name, gap.args[0].name] = float(width.value)
+    return out
+
+
 class Builder:
     """One rule's body over ``relations`` (frames by name). Columns are v<n>; ``env``: their types."""
 
@@ -36,6 +52,7 @@ class Builder:
         self.fallible = False
         self.inlining: set[str] = set()
         self.weights: dict[str, int] = {}
+        self.bands: dict[tuple[str, str], float] = {}
 
     # --- columns
 
@@ -88,6 +105,7 @@ class Builder:
 
     def run(self, plan: Plan, first: DataFrame | None = None) -> "Builder":
         """``first``: stands in for the relation of the first step (the changed rows)."""
+        self.bands = bands(plan)
         for i, step in enumerate(plan.steps):
             instead = first if i == 0 and step.kind == "scan" else None
             if step.kind == "scan":
@@ -138,6 +156,8 @@ class Builder:
             self.frame = self.frame.join(source, reduce(lambda a, b: a & b, on), "left_semi")
             self.set(x.out, F.lit(True), "bool", lazy=True)
             return
+        if self.frame is not None:
+            source = self.banded(source, seen, on)
         if self.frame is None:
             # What is bound so far are constants.
             self.frame = reduce(DataFrame.where, on, source)
@@ -147,6 +167,25 @@ class Builder:
             self.frame = self.frame.crossJoin(source)  # no shared variable: the rule asks for all pairs
         self.env.update(seen)
 
+    def banded(self, source: DataFrame, seen: dict, on: list) -> DataFrame:
+        """A condition 0 <= high - low <= width between the two sides gets an equality of its own:
+        of the number of ``high``'s band, which is ``low``'s or the next."""
+        for (low, high), width in self.bands.items():
+            if high in seen and low in self.env:
+                (given, kind), (name, own), step = self.get(Var(low)), seen[high], 1
+            elif low in seen and high in self.env:
+                (given, kind), (name, own), step = self.get(Var(high)), seen[low], -1
+            else:
+                continue
+            if not {kind, own} <= set(ty.NUMERIC):
+                continue
+            here, there = self.name(), self.name()
+            band = F.floor(given / F.lit(width)).cast("long")
+            self.frame = self.frame.select("*", F.explode(F.array(band, band + step)).alias(here))
+            on.append(F.col(here) == F.col(there))
+            return source.withColumn(there, F.floor(F.col(name) / F.lit(width)).cast("long"))
+        return source
+
     def existential(self, x, relation) -> bool:
         """Whether a scan only asks if an item is there: all its arguments are known."""
         known = all(isinstance(a, Const) or a.name in self.env for a in x.args)
