@@ -21,7 +21,7 @@ def item_type(aggregator: str, t):
     """The type of an item's value, from that of its aggregands."""
     if t is None:
         return None
-    if aggregator in ("set=", "bag="):
+    if aggregator in ("set=", "bag=", "dict="):
         return ty.settle(("list", t)) if t != "term" else "term"
     if aggregator == "mean=":
         return "double" if t != "term" else "term"
@@ -92,7 +92,7 @@ def fold(frame: DataFrame, columns: list[str], t, key, aggregator: str, nullable
         value = F.col("flag")
         if aggregator == ":-":
             failing = F.when(~F.col("flag"), F.lit("TypeError: false is no value for `:-`"))
-    elif aggregator == "set=":
+    elif aggregator in ("set=", "dict="):
         aggs["set"] = F.array_sort(F.collect_set(v))
         value = F.col("set")
     elif aggregator == "bag=":

@@ -157,6 +157,13 @@ def test_queries(spark):
     assert frame.columns == ["X", "Y", "value"] and dict(frame.dtypes)["value"] == "bigint"
 
 
+def test_bindings_as_a_value(spark):
+    p = Program(spark, 'f("a") := 1.  f("b") := 2.  all dict= f(X) * 10 for f(X) > 0.  by(V) dict= X for V is f(X).')
+    pair = lambda k, v: Term("->", (k, v))
+    assert p.value("all") == ((pair("X", "a"), pair("$val", 10)), (pair("X", "b"), pair("$val", 20)))
+    assert p.items("by")[(2,)] == ((pair("V", 2), pair("X", "b"), pair("$val", "b")),)
+
+
 def test_refused_programs_change_nothing(spark):
     p = Program(spark, "x += 1.")
     for text, error in [("x max= 2.", AggregatorConflict), ("y(Z) += 1.", PlanError), ("y += ", RuleSyntaxError), ("z := q(A) + B.", PlanError)]:
