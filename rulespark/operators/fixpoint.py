@@ -259,6 +259,7 @@ class Evaluation:
                     after = state.empty(self.spark, self.schema(n), width[n])
                 differs, change = state.differences(now[n], after, [f"a{i}" for i in range(width[n])])
                 moved, worst = moved or differs, max(worst, change)
+                state.retire([now[n]], [after])
                 now[n] = after
                 self.put(n, after, errors, failed)
             jitter = jitter + 1 if moved and worst <= JITTER else 0
@@ -310,11 +311,13 @@ class Evaluation:
             fresh = {}
             for n in names:
                 fresh[n] = self._improved(n, found[n], full[n], width[n]) if found[n] else state.empty(self.spark, self.schema(n), width[n])
+            old = [*full.values(), *deltas.values()]
             for n in names:
                 if not fresh[n].size_known_empty():
                     full[n] = self._merged(n, full[n], fresh[n], width[n])
                     self.put(n, full[n], self.relations[n].errors)
             deltas = {n: d if d.rows is not None or not d.frame.isEmpty() else state.empty(self.spark, self.schema(n), width[n]) for n, d in fresh.items()}
+            state.retire([*old, *fresh.values()], [*full.values(), *deltas.values()])
         else:
             self.converged = False
         for n in names:
@@ -356,11 +359,11 @@ class Evaluation:
                 return state.from_rows(self.spark, rows, width, self.schema(name))
         columns = [f"a{i}" for i in range(width)]
         if self.program.aggregators[name] == ":-":
-            return state.Held(state.written(full.frame.unionByName(fresh.frame)), width, None)
+            return state.written(full.frame.unionByName(fresh.frame), width)
         marked = full.frame.withColumn("rule", F.lit(0)).unionByName(fresh.frame.withColumn("rule", F.lit(0)))
         shape = self.program.shapes[name]
         items, _ = aggregate.fold(marked, columns, shape.value, shape.key, self.program.aggregators[name], False)
-        return state.Held(state.written(self._typed(name, items)), width, None)
+        return state.written(self._typed(name, items), width)
 
 
 def _surely_true(p: Plan, aggregators: dict[str, str]) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -28,12 +29,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def written(frame: DataFrame) -> DataFrame:
+def written(frame: DataFrame, width: int) -> "Held":
     """Written once and read back: lineage ends here, and survives the loss of executors."""
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rulespark/relation-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    return Held(spark.read.schema(frame.schema).parquet(path), width, None, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: the folder's owner cleans up
+        pass
+
+
+def retire(old: list["Held"], live: list["Held"]) -> None:
+    """Deletes the tables of earlier rounds that nothing reads any more."""
+    kept = {h.path for h in live}
+    for h in old:
+        if h.path and h.path not in kept:
+            _remove(h.frame.sparkSession, h.path)
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -60,6 +78,8 @@ class Held:
     frame: DataFrame
     width: int
     rows: dict | None
+    #: Where it is written, if it is.
+    path: str | None = None
 
     def size_known_empty(self) -> bool:
         return self.rows is not None and not self.rows
@@ -76,7 +96,7 @@ def hold(frame: DataFrame, width: int, large: bool = False) -> Held:
         rows = frame.limit(SMALL + 1).collect()
         if len(rows) <= SMALL:
             return from_rows(frame.sparkSession, {_plain(tuple(r)[:width]): _plain(tuple(r)[width:]) for r in rows}, width, frame.schema)
-    return Held(written(frame), width, None)
+    return written(frame, width)
 
 
 def from_rows(spark: SparkSession, rows: dict, width: int, schema: T.StructType) -> Held:

@@ -34,6 +34,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def _micros(name: str):
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.unix_micros(F.concat(F.col(name).cast("string"), F.lit("Z")).cast("timestamp"))
+
+
 def _long(frame: DataFrame, name: str, places: int = 4):
     """A double rounded, so that the order of a sum does not show."""
     return frame.withColumn(name, F.round(name, places))
@@ -242,7 +247,7 @@ ON a.user_id = b.user_id AND a.ts < b.ts AND epoch_us(b.ts) - epoch_us(a.ts) <=
 """)
 def q17_theta_overlap(spark, sf_dir):
     """Range join: pairs within ten minutes of each other."""
-    events = Tables(spark, sf_dir)["events"].withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = Tables(spark, sf_dir)["events"].withColumn("us", _micros("ts"))
     p = Program(spark, """
         near(A,B) :- S < T, T - S <= 600000000, event(A,U,S,"purchase"), event(B,U,T,_).""")
     p.bind("event", events, ["event_id", "user_id", "us", "event_type"], unique=True)
@@ -296,7 +301,7 @@ SELECT event_id AS purchase, prior.us AS at, prior.e AS event FROM (
 """)
 def q22_asof(spark, sf_dir):
     """As-of join: the latest earlier event of the same user, by max= with the event as key."""
-    events = Tables(spark, sf_dir)["events"].withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = Tables(spark, sf_dir)["events"].withColumn("us", _micros("ts"))
     p = Program(spark, 'prior(P) max= T with_key E for event(P,U,S,"purchase"), event(E,U,T,_), T < S.')
     p.bind("event", events, ["event_id", "user_id", "us", "event_type"], unique=True)
     return p.relation("prior", "purchase", "at", "event")
