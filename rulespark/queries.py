@@ -226,11 +226,11 @@ SELECT x AS first, y AS second, round((bi.n + 0.5) / (uni.n + 0.5), 9) AS p FROM
 def q16_lang_model(spark, sf_dir):
     events = Tables(spark, sf_dir)["events"]
     p = Program(spark, """
-        smoothing := 0.5.
-        tokens(W) += 1 for word(_,_,W).
-        bigram(U,V) += 1 for word(S,T,U), word(S,T+1,V).
-        p(U,V) := (bigram(U,V) + smoothing) / (tokens(U) + smoothing).""")
-    p.bind("word", _sequence(events), ["user_id", "t", "event_type"], unique=True)
+        prior := 0.5.
+        seen(E) += 1 for step(_,_,E).
+        follows(E,G) += 1 for step(U,T,E), step(U,T+1,G).
+        p(E,G) := (follows(E,G) + prior) / (seen(E) + prior).""")
+    p.bind("step", _sequence(events), ["user_id", "t", "event_type"], unique=True)
     return _long(p.relation("p", "first", "second", "p"), "p", 9)
 
 
