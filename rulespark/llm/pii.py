@@ -31,6 +31,10 @@ from rulespark.llm.common import arrow_limits
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens in one entity, at most.
 MAX_TOKENS = 28
+#: Groups of digits in one entity, at most.
+MAX_GROUPS = 6
+#: Tokens that one lattice holds.
+PART_TOKENS = 5000
 #: Characters around a digit or at-sign that the model reads.
 CONTEXT = 80
 
@@ -137,16 +141,21 @@ def _outside(token: str, left: str) -> list[str]:
     return [f"out:{kind}", f"out:{kind}:{min(len(token), 20)}" if kind == "digit" else f"out:{kind}<{_side(left)}"]
 
 
+def _by_bracket(tokens: list[str], j: int) -> bool:
+    """Whether a blank stands at a bracket or at-sign, the only place for one in an address."""
+    return j > 0 and tokens[j - 1] in "[()]@" or j + 1 < len(tokens) and tokens[j + 1] in "[()]@"
+
+
 def _candidates(tokens: list[str]) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the segments that can be entities at all."""
     for i, first in enumerate(tokens):
         if first[0].isascii() and (first.isdigit() or first in "+("):
-            digits = 0
+            digits = groups = 0
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 t = tokens[j]
                 if t.isdigit() and t.isascii():
-                    digits += len(t)
-                    if digits > 19:
+                    digits, groups = digits + len(t), groups + 1
+                    if digits > 19 or groups > MAX_GROUPS:
                         break
                     if digits >= 4:
                         if first.isdigit() and j == i + 6 and tokens[i + 1] == ".":
@@ -162,9 +171,13 @@ def _candidates(tokens: list[str]) -> Iterator[tuple[int, int, str]]:
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 t = tokens[j]
                 if t == "@" or t == "at" and j and tokens[j - 1] in "[( ":
+                    if seen:
+                        break  # one at-sign each
                     seen = True
                 elif not t.isascii() or not (t.isalnum() or t in "._%+-[]() "):
                     break
+                elif t == " " and not _by_bracket(tokens, j):
+                    break
                 if seen and t.isalnum() and t not in ("at", "dot"):
                     yield i, j + 1, "email"
 
@@ -351,14 +364,36 @@ def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[
             free.append((a, b))
     out: list[Span] = []
     for a, b in free:
-        part = text[a:b]
-        if not _TRIGGER.search(part):
+        if not _TRIGGER.search(text, a, b):
             continue
-        lattice = _Lattice(part, text[a - 1 : a], text[b : b + 1])
-        out += [(kind, a + s, a + e) for kind, s, e in lattice.best(weights)]
+        for s, e in _parts(text, a, b):
+            lattice = _Lattice(text[s:e], text[s - 1 : s] if s else "", text[e : e + 1])
+            out += [(kind, s + x, s + y) for kind, x, y in lattice.best(weights)]
     return out
 
 
+def _parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The stretch in parts of at most ``PART_TOKENS`` tokens, for bounded memory, cut where no
+    candidate entity runs across; only if one runs over every place of a whole part, at its end."""
+    tokens = _TOKEN.findall(text[a:b])
+    if len(tokens) <= PART_TOKENS:
+        yield a, b
+        return
+    crossed = [0] * (len(tokens) + 1)
+    for i, j, _ in _candidates(tokens):
+        crossed[i + 1] += 1
+        crossed[j] -= 1
+    for k in range(1, len(crossed)):
+        crossed[k] += crossed[k - 1]
+    first, at = 0, a
+    while first < len(tokens):
+        last = min(len(tokens), first + PART_TOKENS)
+        cut = last if last == len(tokens) else next((k for k in range(last, first, -1) if not crossed[k]), last)
+        end = at + sum(map(len, tokens[first:cut]))
+        yield at, end
+        first, at = cut, end
+
+
 def find(text: str | None, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind as listed, then start."""
     if not text or not _TRIGGER.search(text):

@@ -4,19 +4,23 @@
 public files; it is resolved where the worker runs. The ids are those that the
 ``tokenizers`` library gives with ``add_special_tokens=False``. Its vocabulary is run by
 the ``tiktoken`` engine, about four times as fast; texts that hold the string of an added
-token go through ``tokenizers`` itself.
+token, or thousands of blanks in a row, go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The fast engine looks ahead in runs of blanks on a stack; longer runs go the other way.
+LONG_BLANK = 2000
+_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
 #: The id that ends each document in a packed sequence.
 END = 2
 
@@ -74,7 +78,7 @@ def encoder(tokenizer: str = TOKENIZER) -> Callable[[str], list[int]]:
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(a in text for a in added):
+        if any(a in text for a in added) or len(text) > LONG_BLANK and _BLANK.search(text):
             return slow(text)
         return fast.encode_ordinary(text)
 

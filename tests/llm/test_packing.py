@@ -35,6 +35,12 @@ def test_ids_are_those_of_tokenizers(tokenizer):
         assert encode(t or "") == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_very_long_runs(tokenizer):
+    encode = tokens.encoder()
+    for t in [" " * 300_000 + "x", "a" + "\n\t" * 100_000, "a" * 200_000, "9" * 50_000, "!?" * 50_000, "é" * 50_000]:
+        assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_other_vocabularies_run_in_tokenizers():
     name = "word_bpe_49k.json"
     whole = Tokenizer.from_file(tokens.resolve(name))

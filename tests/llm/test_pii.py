@@ -76,6 +76,21 @@ def test_clean_numbers_are_left_alone():
         assert pii.find(text, pii.model()) == ([], [])
 
 
+def test_long_stretches_are_cut_between_entities(monkeypatch):
+    text = " ".join(t for t, _ in pii.examples(40, seed=21))
+    base = pii.base_spans(text)
+    whole = pii.added_spans(text, base, pii.model())
+    monkeypatch.setattr(pii, "PART_TOKENS", 60)
+    assert pii.added_spans(text, base, pii.model()) == whole and len(whole) > 20
+    parts = list(pii._parts(text, 3, len(text) - 5))
+    assert parts[0][0] == 3 and parts[-1][1] == len(text) - 5 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_dense_digits_take_bounded_time():
+    for text in ["1 " * 60_000, "12 " * 30_000, "a@ " * 40_000, "+1 (" * 40_000, "a [at] " * 15_000]:
+        pii.find(text, pii.model())
+
+
 def test_forward_backward_agrees_with_the_gradient_at_the_optimum():
     """A gold labelling that is certain has no gradient left."""
     lattice = pii._Lattice("a b")
