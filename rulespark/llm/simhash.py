@@ -62,7 +62,8 @@ def fingerprint_column(text: Column) -> Column:
         for texts in batches:
             yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return simhash(text)
+    # Marked so that no optimizer rule computes a text's fingerprint a second time.
+    return simhash.asNondeterministic()(text)
 
 
 def _block(fp: Column, i: int) -> Column:
