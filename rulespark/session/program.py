@@ -292,6 +292,7 @@ class Program:
         ``returns``: "bool", "long", "double", "str", "term", or a list type such as ("list", "str")."""
         self.functions[name] = Function(run, returns)
         self.compiled = Compiled(self)
+        self.dirty |= set(self.compiled.edges)
 
     # --- reading
 

@@ -237,6 +237,8 @@ def test_registered_functions(spark):
     p.register("twice", lambda v: v * 2, "long")
     p.add('x := pycall("twice", 4).  y(K) := twice(K) for K in [1,2].  z := pycall("twice", "a").')
     assert p.value("x") == 8 and p.items("y") == {(1,): 2, (2,): 4}
+    p.register("twice", lambda v: v * 20, "long")
+    assert p.value("x") == 80
 
 
 def test_bound_frames(spark):
