@@ -418,6 +418,22 @@ def q29_reach(spark, sf_dir):
     return p.relation("reach", "first", "second").drop("value")
 
 
+@query("""
+WITH RECURSIVE edges AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT a AS first, b AS second FROM reach
+""")
+def q29b_reach_all(spark, sf_dir):
+    """Transitive closure over the orders of the whole table."""
+    p = Program(spark, """
+        edge(A,B) :- word(O,L,A), word(O,L+1,B).
+        reach(A,B) :- edge(A,B).
+        reach(A,C) :- reach(A,B), edge(B,C).""")
+    p.bind("word", Tables(spark, sf_dir)["lineitem"], ["l_orderkey", "l_linenumber", "l_partkey"], bag=True)
+    return p.relation("reach", "first", "second").drop("value")
+
+
 @query("""
 WITH RECURSIVE f(x, a, b) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)
   UNION ALL SELECT x + 1, b, a + b FROM f WHERE x + 1 < 20) SELECT x, a AS fib FROM f

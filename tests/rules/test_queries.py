@@ -40,6 +40,30 @@ def test_equals_sql(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
+def closure(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for a in after:
+        ready, seen = [a], set()
+        while ready:
+            fresh = after.get(ready.pop(), set()) - seen
+            seen |= fresh
+            ready += fresh
+        out |= {(a, b) for b in seen}
+    return out
+
+
+def test_reach_covers_all_orders(spark, tmp_path):
+    lines = [(o, n, 10 * (o // 300) + n + o % 2) for o in (1, 2, 399, 400, 401, 900, 901) for n in range(1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    of = {(o, n): p for o, n, p in lines}
+    want = closure((p, of[o, n + 1]) for (o, n), p in of.items() if (o, n + 1) in of)
+    got = [tuple(r) for r in QUERIES["q29b_reach_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and any(a >= 30 for a, _ in want)
+
+
 def test_plans_push_down_and_prune(spark):
     text = QUERIES["q01_sum_revenue"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in text and "CartesianProduct" not in text and "Python" not in text
