@@ -478,6 +478,29 @@ def q32_cky(spark, sf_dir):
     return got.select("user", "start", "stop", "symbol")
 
 
+@query("""
+WITH w AS (SELECT user_id AS u, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
+s AS (SELECT u, t, CASE e WHEN 'purchase' THEN 'P' WHEN 'view' THEN 'V' ELSE 'X' END AS x FROM w),
+runs AS (SELECT u, t, t - row_number() OVER (PARTITION BY u ORDER BY t) AS run FROM s WHERE x <> 'X')
+SELECT u AS user, t AS start, t + 1 AS stop, x AS symbol FROM s
+UNION ALL SELECT a.u, a.t, b.t + 1, 'A' FROM runs a JOIN runs b ON a.u = b.u AND a.run = b.run AND a.t <= b.t
+""")
+def q32b_cky_all(spark, sf_dir):
+    """Chart parsing over all positions of each user's events."""
+    sequence = _sequence(Tables(spark, sf_dir)["events"]).withColumn("t", F.col("t") - 1)
+    p = Program(spark, """
+        rewrite("P","purchase").  rewrite("V","view").
+        symbol(U,T,X) :- word(U,T,W), rewrite(X,W).
+        phrase("X",U,T,T+1) :- W != "purchase", W != "view", word(U,T,W).
+        phrase(X,U,T,T+1) :- symbol(U,T,X).
+        phrase("A",U,I,K) :- phrase("P",U,I,K).
+        phrase("A",U,I,K) :- phrase("V",U,I,K).
+        phrase("A",U,I,K) :- phrase("A",U,I,J), phrase("A",U,J,K).""")
+    p.bind("word", sequence, ["user_id", "t", "event_type"], unique=True)
+    got = p.relation("phrase", "symbol", "user", "start", "stop")
+    return got.select("user", "start", "stop", "symbol")
+
+
 @query("""
 WITH RECURSIVE w AS (SELECT user_id AS u, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
 n AS (SELECT u, t, len(e) % 3 + 1 AS k FROM w WHERE t <= 8),
@@ -499,6 +522,37 @@ def q33_hmm_forward(spark, sf_dir):
     return p.relation("out", "user", "t", "warm", "cold").drop("value")
 
 
+@query("""
+WITH RECURSIVE w AS (SELECT user_id AS u, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+n AS (SELECT u, t, len(e) % 3 + 1 AS k FROM w),
+a(u, t, x, y) AS (SELECT u, t, CAST(k AS BIGINT), CAST(1 AS BIGINT) FROM n WHERE t = 1
+  UNION ALL SELECT a.u, n.t, CAST((a.x * 2 + a.y) * n.k % 1000003 AS BIGINT), CAST((a.x + a.y * 3) % 1000003 AS BIGINT)
+  FROM a JOIN n ON a.u = n.u AND n.t = a.t + 1)
+SELECT u AS user, t, x AS warm, y AS cold FROM a
+""")
+def q33b_hmm_forward_all(spark, sf_dir):
+    """Forward weights along all of each user's events, modulo 1,000,003 so that none overflows.
+
+    Products of steps over W events, W a power of two, are folded from two of half the length, and
+    a weight takes one product for each bit of its position: rounds grow with the length's logarithm.
+    """
+    sequence = _sequence(Tables(spark, sf_dir)["events"]).withColumn("k", (F.length("event_type") % 3 + 1).cast("long"))
+    sequence = sequence.withColumn("n", F.col("t") - 1).withColumn("low", F.col("n").bitwiseAND(-F.col("n")))
+    p = Program(spark, """
+        step("h","h") := 2.  step("c","h") := 1.  step("h","c") := 1.  step("c","c") := 3.
+        emit("h",K) := K for obs(_,_,_,K).  emit("c",K) := 1 for obs(_,_,_,K).
+        product(U,1,N,R,S) += step(R,S) * emit(S,K) for obs(U,N,_,K), N > 0.
+        product(U,2*W,N,R,S) += block(U,W,N-W,R,X) * block(U,W,N,X,S) for mod(N,2*W) == 0.
+        block(U,W,N,R,S) := mod(product(U,W,N,R,S), 1000003).
+        weight(U,0,"h") += K for obs(U,0,_,K).
+        weight(U,0,"c") += 1 for obs(U,0,_,_).
+        weight(U,N,S) += alpha(U,N-W,R) * block(U,W,N,R,S) for obs(U,N,W,_), N > 0.
+        alpha(U,N,S) := mod(weight(U,N,S), 1000003).
+        out(U,N+1,alpha(U,N,"h"),alpha(U,N,"c")).""")
+    p.bind("obs", sequence, ["user_id", "n", "low", "k"], unique=True)
+    return p.relation("out", "user", "t", "warm", "cold").drop("value")
+
+
 @query("""
 SELECT a.l_suppkey AS row, b.p_size::BIGINT AS col, CAST(sum(CAST(a.q AS BIGINT) * b.p_partkey) AS BIGINT) AS cell
 FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) a JOIN part b ON a.l_partkey = b.p_partkey GROUP BY 1, 2

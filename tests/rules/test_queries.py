@@ -64,6 +64,41 @@ def test_reach_covers_all_orders(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want and any(a >= 30 for a, _ in want)
 
 
+def events(spark, path, kinds):
+    """``kinds`` by user, in the order of time; the table is written in another."""
+    rows = [(u, n, n, kind) for u, own in kinds.items() for n, kind in enumerate(own)]
+    frame = spark.createDataFrame(rows[::-1], "user_id long, ts long, event_id long, event_type string")
+    frame.write.parquet(str(path / "events.parquet"))
+
+
+def test_parsing_takes_whole_sequences(spark, tmp_path):
+    kinds = {1: ["click"] * 7 + ["view", "purchase"] * 10 + ["error"] + ["view"] * 4, 2: ["purchase"]}
+    events(spark, tmp_path, kinds)
+    want = set()
+    for u, own in kinds.items():
+        for i, kind in enumerate(own):
+            want.add((u, i, i + 1, {"purchase": "P", "view": "V"}.get(kind, "X")))
+            for k in range(i + 1, len(own) + 1):
+                if set(own[i:k]) <= {"view", "purchase"}:
+                    want.add((u, i, k, "A"))
+    got = [tuple(r) for r in QUERIES["q32b_cky_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_forward_weights_take_whole_sequences(spark, tmp_path):
+    kinds = {1: [("view", "click", "purchase")[n * n % 7 % 3] for n in range(600)], 2: ["error"], 3: ["view"] * 9}
+    events(spark, tmp_path, kinds)
+    want = set()
+    for u, own in kinds.items():
+        x, y = len(own[0]) % 3 + 1, 1
+        for t, kind in enumerate(own, 1):
+            if t > 1:
+                x, y = (x * 2 + y) * (len(kind) % 3 + 1), x + y * 3
+            want.add((u, t, x % 1000003, y % 1000003))
+    got = [tuple(r) for r in QUERIES["q33b_hmm_forward_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_plans_push_down_and_prune(spark):
     text = QUERIES["q01_sum_revenue"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in text and "CartesianProduct" not in text and "Python" not in text
