@@ -671,6 +671,14 @@ def q43_string_sum(spark, sf_dir):
     return p.relation("joined", "nation", "joined")
 
 
+@query("SELECT c_nationkey::BIGINT AS nation, string_agg(c_mktsegment, '' ORDER BY c_mktsegment) AS joined FROM customer GROUP BY 1")
+def q43b_string_sum_all(spark, sf_dir):
+    """+= on strings, over all customers."""
+    p = Program(spark, "joined(N) += S for customer(_,N,S).")
+    p.bind("customer", Tables(spark, sf_dir)["customer"], ["c_custkey", "c_nationkey", "c_mktsegment"], unique=True)
+    return p.relation("joined", "nation", "joined")
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS nation, 1.0 / n_nationkey AS inverse FROM nation WHERE n_nationkey <> 0")
 def q44_errors_drop_groundings(spark, sf_dir):
     """Division by zero loses that grounding alone; it is reported by errors()."""

@@ -99,6 +99,13 @@ def test_forward_weights_take_whole_sequences(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_string_sums_take_all_customers(spark, tmp_path):
+    rows = [(c, c % 3, "abc"[c % 3] + str(c % 7)) for c in range(1, 500)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = dict(tuple(r) for r in QUERIES["q43b_string_sum_all"](spark, str(tmp_path)).collect())
+    assert got == {n: "".join(sorted(s for _, m, s in rows if m == n)) for n in range(3)}
+
+
 def test_plans_push_down_and_prune(spark):
     text = QUERIES["q01_sum_revenue"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in text and "CartesianProduct" not in text and "Python" not in text
