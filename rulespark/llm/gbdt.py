@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from math import log, log2
 
@@ -31,8 +30,6 @@ RATE = 0.15
 LEAST_IN_LEAF = 20
 PENALTY = 1.0
 THRESHOLD = 0.3
-#: Words counted together when repetition is measured; longer texts are the mean of their parts.
-PART_WORDS = 1 << 16
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "sd_word", "upper", "digits", "spaces", "punctuation", "symbols", "beyond_ascii",
@@ -65,16 +62,14 @@ def statistics(text: str | None) -> list[float]:
     stops = int(ascii_[[33, 44, 46, 58, 59, 63]].sum())
     symbols = int(ascii_[33:].sum()) - letters - digits - stops
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    parts = []
-    for at in range(0, len(words), PART_WORDS):
-        own = words[at : at + PART_WORDS]
-        seen = Counter(own)
-        same = sum(a == b for a, b in zip(own, own[1:], strict=False))
-        pairs = len(set(zip(own, own[1:], strict=False)))
-        few = max(1, len(own) - 1)
-        # Repetition is set against what a text of that length has: n words have about n^0.75 kinds.
-        parts.append((len(seen) / len(own) ** 0.75, max(seen.values()) / len(own), same / few, pairs / few))
-    repeated = np.mean(parts, axis=0).tolist()
+    # Words and pairs are counted by number over the whole text: 8 bytes a word, however long it is.
+    number: dict[str, int] = {}
+    own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    few = max(1, len(own) - 1)
+    same = int((own[1:] == own[:-1]).sum())
+    pairs = len(np.unique(own[:-1] * len(number) + own[1:]))
+    # Repetition is set against what a text of that length has: n words have about n^0.75 kinds.
+    repeated = [len(number) / len(own) ** 0.75, int(np.bincount(own).max()) / len(own), same / few, pairs / few]
     lines = text.split("\n")
     marked = sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in words)
     raw = text.encode("utf-8", "surrogatepass")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -78,3 +79,20 @@ def test_empty_and_one_class(spark):
 def test_statistics_are_finite():
     for t in [None, "", " ", "a", "\n\n", "é" * 9, "A!" * 999, "a b " * 70_000]:
         assert len(gbdt.statistics(t)) == len(gbdt.FEATURES) and np.isfinite(gbdt.statistics(t)).all()
+
+
+def repetition(words):
+    """By definition: kinds of words, the top word, words like the last one and kinds of pairs, over the whole text."""
+    pairs = list(zip(words, words[1:]))
+    top = max(Counter(words).values())
+    return [len(set(words)) / len(words) ** 0.75, top / len(words), sum(a == b for a, b in pairs) / max(1, len(pairs)), len(set(pairs)) / max(1, len(pairs))]
+
+
+def test_repetition_is_that_of_the_whole_text():
+    at = gbdt.FEATURES.index("distinct_words")
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(30_000)}" for _ in range(65_537)]
+    for words in [["a"], ["a", "a", "b"], long[:-1], long, long * 3]:
+        assert np.allclose(gbdt.statistics(" ".join(words))[at : at + 4], repetition(words), rtol=1e-12)
+    a, b = (gbdt.statistics(" ".join(w)) for w in (long[:-1], long))
+    assert np.allclose(a, b, rtol=0.01)
