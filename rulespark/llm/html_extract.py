@@ -23,9 +23,11 @@ from rulespark.llm.common import arrow_limits, materialize
 
 #: A subtree is template if it is on so many different pages of its host, ...
 LEAST_PAGES = 5
-#: ... and on this share of them; inside an article, on the second share.
+#: ... and on this share of them; inside an article, on the second share; ...
 SHARE = 0.1
 SHARE_INSIDE = 0.5
+#: ... but on so many different pages it is template whatever its share of a large host.
+MANY_PAGES = 50
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL
@@ -215,23 +217,25 @@ def main_text(html: str | None, template: set[int]) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` -> (host, template): the hashes of each host's template subtrees.
+    """``pages(host, page, html)`` -> (page, template): the hashes of template subtrees on each page that has any.
 
-    A host's list is bounded: what is on a tenth of its pages is at most ten times the subtrees
-    of a mean page. Counting combines before the shuffle, so a host with most pages is no one task.
+    ``page`` stands for host and html. Counting combines before the shuffle, so a host with most
+    pages is no one task; pages meet the templates by (host, subtree), so that no host's list is
+    held as a whole, and a page's list is no longer than its own subtrees.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [subtrees(h.as_py()) for h in batch.column(1)]
+            found = [subtrees(h.as_py()) for h in batch.column(2)]
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["host", "outside", "inside", "whole"]
+                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                ["host", "page", "outside", "inside", "whole"],
             )
 
     found = materialize(
-        pages.mapInArrow(run, "host string, outside array<long>, inside array<long>, whole long"), "subtrees"
+        pages.mapInArrow(run, "host string, page binary, outside array<long>, inside array<long>, whole long"), "subtrees"
     )
     wholes = found.groupBy("host", "whole").agg(F.first("outside").alias("outside"), F.first("inside").alias("inside"))
     sizes = wholes.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
@@ -243,10 +247,17 @@ def templates(pages: DataFrame) -> DataFrame:
         .where(F.col("n") >= LEAST_PAGES)
     )
     share = F.when(F.col("inside"), SHARE_INSIDE).otherwise(SHARE)
-    return (
+    known = (
         counted.join(sizes, "host")
-        .where(F.col("n") >= share * F.col("pages"))
-        .groupBy("host")
+        .where(F.col("n") >= F.least(share * F.col("pages"), F.lit(MANY_PAGES)))
+        .select("host", "subtree")
+        .distinct()
+    )
+    own = found.groupBy("host", "page").agg(F.first(F.array_union("outside", "inside")).alias("own"))
+    return (
+        own.select("host", "page", F.explode("own").alias("subtree"))
+        .join(materialize(known, "templates"), ["host", "subtree"])
+        .groupBy("page")
         .agg(F.collect_set("subtree").alias("template"))
     )
 
@@ -261,7 +272,8 @@ def extract(pages: DataFrame) -> DataFrame:
     arrow_limits(pages.sparkSession)
     host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), _HOST, 1), F.lit("")))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    known = materialize(templates(rows.where("host is not null").select("host", "html")), "templates")
+    rows = rows.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", F.length("host"), "host", F.isnull("html"), "html"))))
+    known = materialize(templates(rows.where("host is not null").select("host", "page", "html")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,5 +287,5 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     kinds = dict(rows.dtypes)
-    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "template")
+    joined = rows.join(known, "page", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

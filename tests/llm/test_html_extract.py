@@ -75,3 +75,14 @@ def test_odd_rows(spark):
     assert len(got) == 16 and sum(r.text == "x" for r in got) == 2
     assert sum(r.text == "" and r.n_chars == 0 for r in got) == 2
     assert he.extract(df.limit(0)).collect() == []
+
+
+def test_template_of_a_part_of_a_large_host_is_removed(spark):
+    """A section's notice on 2 % of the pages, in and outside articles; text on fewer pages stays."""
+    rows = []
+    for i in range(5000):
+        notice = "<div>Section notice</div>" if i % 50 == 0 else "<div>Shared by few</div>" if i < 20 else ""
+        text = f"<p>Own {i}</p>"
+        rows.append((i, f"http://a.example/{i}", page(f"<article>{text}{notice}</article>" if i % 100 else f"{notice}<div>{text}</div>"), "t", 1))
+    got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows + rows[:3], PAGES)).collect()}
+    assert got == {i: f"Own {i}" + " Shared by few" * (0 < i < 20) for i in range(5000)}
