@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -296,9 +297,12 @@ class Evaluation:
             for i, x in enumerate(p.rule.literals):
                 if isinstance(x, Scan) and f"{x.fn}/{len(x.args)}" in members:
                     starts[p.rule.name].append((f"{x.fn}/{len(x.args)}", plan(p.rule, first=i)))
-        for round_ in range(1, self.program.max_rounds + 1):
+        ends = all(self.program.aggregators[n] == ":-" for n in names) and all(_makes_no_values(p) for p in plans)
+        for round_ in count(1):
             if all(d.size_known_empty() for d in deltas.values()):
                 break
+            if round_ > self.program.max_rounds and not ends:
+                raise RuntimeError(f"{', '.join(names)} not settled after {self.program.max_rounds} rounds")
             found = {}
             for n in names:
                 frames = []
@@ -318,8 +322,6 @@ class Evaluation:
                     self.put(n, full[n], self.relations[n].errors)
             deltas = {n: d if d.rows is not None or not d.frame.isEmpty() else state.empty(self.spark, self.schema(n), width[n]) for n, d in fresh.items()}
             state.retire([*old, *fresh.values()], [*full.values(), *deltas.values()])
-        else:
-            self.converged = False
         for n in names:
             self.rounds[n] = round_
 
@@ -379,5 +381,12 @@ def _surely_true(p: Plan, aggregators: dict[str, str]) -> bool:
     )
 
 
+def _makes_no_values(p: Plan) -> bool:
+    """Whether a rule's head holds nothing but constants and what its body's relations hold, so
+    that over finite data its recursion ends."""
+    held = {a for x in p.rule.literals if isinstance(x, Scan) for a in (*x.args, x.out)}
+    return all(isinstance(a, Const) or a in held for a in p.rule.args)
+
+
 def _is_fact(p: Plan) -> bool:
     return not p.rule.literals and all(isinstance(x, Const) for x in (*p.rule.args, p.rule.value, *([p.rule.key] if p.rule.key is not None else [])))

@@ -62,3 +62,15 @@ def test_tables_of_earlier_rounds_go(spark, monkeypatch, tmp_path):
     p.bind("e", df, ["a", "b"], "w", unique=True)
     assert p.relation("r").count() > 100
     assert len(list((tmp_path / "rulespark").iterdir())) <= 2
+
+
+def test_long_chains_are_closed_or_refused(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    p = Program(spark, "r(B) :- e(0,B).  r(B) :- r(A), e(A,B).", max_rounds=4)
+    p.bind("e", edges, ["a", "b"], bag=True)
+    assert set(p.items("r")) == {(i,) for i in range(1, 13)}
+    for text in ["d(0) min= 0.  d(B) min= d(A) + 1 for e(A,B).", "n(0) :- true.  n(X+1) :- n(X)."]:
+        p = Program(spark, text, max_rounds=4)
+        p.bind("e", edges, ["a", "b"], bag=True)
+        with pytest.raises(RuntimeError, match="not settled after 4 rounds"):
+            p.items(text[0])
