@@ -166,26 +166,30 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest doc_id.
 
-    All columns stay as they are. Of rows that repeat the kept doc_id, the one with the
-    smallest fingerprint stays, once. Texts move once, keyed by (doc_id, fingerprint), so a
-    large group is not one task.
+    All columns stay as they are. Null and wordless texts have fingerprint zero and are one
+    component; a null doc_id stays only if its component has no other. Of rows that repeat the
+    kept doc_id, the one with the smallest fingerprint, then text hash, stays, once. An empty
+    table gives an empty one. Each text is fingerprinted once; what is joined back is ids. The
+    texts move once, dealt by (doc_id, text hash), so that neither a large group nor null ids
+    are one task; they meet a hash table of the ids kept and are never sorted.
     """
     arrow_limits(docs.sparkSession)
-    (fp,) = fresh(docs, "fp")
-    rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "simhash")
-    owners = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n")).join(_grouped(rows, bucket), "fp")
+    (hashed,) = fresh(docs, "hash")
+    text_hash = F.xxhash64(F.col("text"))
+    rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp"), text_hash.alias("h")), "simhash")
+    owners = rows.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n")).join(_grouped(rows, bucket), "fp")
     mine = owners.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = mine.groupBy("root", "component_id").agg(F.min(F.struct("fp", "n")).alias("k"))
+    first = mine.groupBy("root", "component_id").agg(F.min(F.struct("fp", "h", "n")).alias("k"))
     kept = materialize(
-        first.select(F.col("component_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"), F.col("k.n").alias("kept_n")),
+        first.select(F.col("component_id").alias("kept_id"), F.col("k.h").alias("kept_hash"), F.col("k.n").alias("kept_n")),
         "kept",
     )
-    marked = docs.withColumn(fp, fingerprint_column(F.col("text")))
+    marked = docs.withColumn(hashed, text_hash)
     met = marked.join(
-        kept.select("kept_id", "kept_fp"),
-        (marked[fp] == kept["kept_fp"]) & marked["doc_id"].eqNullSafe(kept["kept_id"]),
+        kept.select("kept_id", "kept_hash").hint("shuffle_hash"),
+        (marked[hashed] == kept["kept_hash"]) & marked["doc_id"].eqNullSafe(kept["kept_id"]),
         "left_semi",
     )
     if not kept.where("kept_n > 1").isEmpty():
-        met = met.dropDuplicates(["doc_id", fp])
+        met = met.dropDuplicates(["doc_id", hashed])
     return met.select(docs.columns)
