@@ -1,11 +1,21 @@
 """Operator 8: main text of web pages by site template removal.
 
-Every element's subtree is hashed (tags, classes and text). Per host, Spark counts on how
-many different pages each subtree occurs; copies of a page count once. Subtrees that recur
-on many pages of their host are its template and are deleted, as is what its tag, role or
-class marks as no part of the article. Where a page has an article or main element, its text
-is that element's; paragraphs, headings and list items in there stay even if they recur,
-since quoted or reposted articles recur too.
+Every element's subtree is hashed twice: with its text, and by its shape (tags, classes, ids and
+roles, with text and repeated siblings masked). Per host, Spark counts on how many different
+pages each hash occurs; copies of a page count once. What recurs on many pages of its host is
+template and is deleted, outer elements first:
+
+* a subtree with its text, wherever it stands; paragraphs, headings and list items of an
+  article stay, since quoted or reposted articles recur too;
+* a shape that has a name (a class, id or role, or a tag such as nav or footer), as its text
+  may change from page to page. Shapes are learned where an article or main element shows that
+  they stand outside it, and deleted on every page of the host.
+
+What counting cannot settle - hosts of few pages, reader comments - falls to a named fallback:
+text outside a page's article or main element, and elements that their tag, role or class marks
+as no part of an article. A class or id marks an element only if all its words are such marks or
+names of plain boxes (``share-buttons``, but not ``menu-history``). ``template_chars`` and
+``fallback_chars`` say how much text each way deleted.
 """
 
 from __future__ import annotations
@@ -34,6 +44,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+_DIGITS = re.compile(r"[0-9]+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Element names by their role in a page.
@@ -55,6 +66,12 @@ MARKS = {
     "subscribe", "signup", "login", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "footer", "popup", "modal", "overlay",
     "masthead", "toolbar", "pagination", "pager", "widget", "skip",
 }
+#: Words that name a box whatever it holds; beside a mark they leave it one.
+BOXES = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "form", "group", "icons", "inner", "item",
+    "items", "left", "link", "links", "list", "main", "outer", "panel", "right", "section", "site", "slot", "small", "thread", "top", "unit", "wrap",
+    "wrapper",
+}
 #: Elements whose start ends an open paragraph.
 ENDS_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
@@ -71,29 +88,35 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote"
 
 
 class Node:
-    __slots__ = ("tag", "landmark", "dropped", "inside", "first", "last", "digest", "hasher", "solid")
+    __slots__ = ("tag", "name", "landmark", "dropped", "inside", "first", "last", "digest", "hasher", "solid", "shape", "children")
 
-    def __init__(self, tag, landmark, dropped, inside, first, hasher):
-        self.tag, self.landmark, self.dropped, self.inside = tag, landmark, dropped, inside
+    def __init__(self, tag, name, landmark, dropped, inside, first, hasher):
+        self.tag, self.name, self.landmark, self.dropped, self.inside = tag, name, landmark, dropped, inside
         self.first, self.last, self.digest, self.hasher, self.solid = first, first, 0, hasher, False
+        self.shape, self.children = 0, []
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether role, class or id, or being hidden, mark an element as no part of the article."""
+def _read(tag: str, attributes: str) -> tuple[bool, str]:
+    """The fallback - whether role, class or id, or being hidden, mark an element as no part of
+    the article - and the element's name: its role, id and classes, digits masked."""
     if not attributes.strip():
-        return False
+        return False, ""
+    marked, names = False, []
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and tag not in ("body", "html"):
-            if any(w.lower() in MARKS for w in _NAME.findall(value)):
-                return True
-        elif name == "role" and value.lower() in ROLES:
-            return True
+            for own in value.split():
+                words = {w.lower() for w in _NAME.findall(own) if not w.isdigit()}
+                marked |= bool(words & MARKS) and words <= MARKS | BOXES
+            names += sorted(f"{name}={own}" for own in set(_DIGITS.sub("#", value).split()))
+        elif name == "role":
+            marked |= value.lower() in ROLES
+            names.append(f"role={value.lower()}")
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            marked = True
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            marked = True
+    return marked, " ".join(names)
 
 
 def parse(html: str) -> tuple[list[str], list[Node]]:
@@ -118,9 +141,13 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
             pieces.append(" ")
         node.last = len(pieces)
         node.digest = node.hasher.intdigest()
+        node.shape = xxhash.xxh64_intdigest(f"{node.tag} {node.name} {node.solid} {node.children}", 1)
+        node.children.clear()
         if stack:
             stack[-1].solid |= node.solid
             stack[-1].hasher.update(node.digest.to_bytes(8, "little"))
+            if node.tag not in INLINE and stack[-1].children[-1:] != [node.shape]:
+                stack[-1].children.append(node.shape)
         done.append(node)
 
     def close_to(tags: set[str], until: set[str]) -> None:
@@ -152,7 +179,7 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
         if tag in VOID:
             continue
         above = stack[-1] if stack else None
-        marked = _marked(tag, m[3])
+        marked, name = _read(tag, m[3])
         landmark = tag in LANDMARK and not marked
         inside = bool(above and (above.inside or above.landmark))
         own = marked or tag in DROPPED and not (tag == "header" and inside)
@@ -162,7 +189,7 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
             dropped = (above.dropped if above else "") or ("marked" if marked else "tag" if own else "")
         hasher = xxhash.xxh64(tag)
         hasher.update(m[3].encode("utf-8", "surrogatepass"))
-        stack.append(Node(tag, landmark, dropped, inside, len(pieces), hasher))
+        stack.append(Node(tag, name, landmark, dropped, inside, len(pieces), hasher))
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
             stop = end.start() if end else len(html)
@@ -176,18 +203,45 @@ def parse(html: str) -> tuple[list[str], list[Node]]:
     return pieces, done
 
 
-def subtrees(html: str | None) -> tuple[list[int], list[int], int]:
-    """Signed hashes of a page's distinct subtrees with text (outside articles, inside them), and of the whole."""
-    outside, inside = set(), set()
+#: Elements that hold nothing to be read.
+UNREAD = {"html", "body", "head", "title", *RAW}
+
+
+#: Elements that hold text of any kind; without a name their shape says nothing.
+PLAIN = PROSE | {"div", "section", "ul", "ol", "dl", "table", "thead", "tfoot", "figure", "figcaption", "details", "summary", "center", "address"}
+
+
+def _countable(n: Node) -> bool:
+    """Whether an element can be template: it has text and is no article, nor prose of one."""
+    return n.solid and n.tag not in UNREAD and not n.landmark and not (n.inside and n.tag in PROSE)
+
+
+def _shaped(n: Node) -> bool:
+    """Whether an element can be template by its shape."""
+    return _countable(n) and n.tag not in INLINE and (bool(n.name) or n.tag not in PLAIN)
+
+
+def _landmarks(nodes: list[Node]) -> list[Node]:
+    return [n for n in nodes if n.landmark and not n.dropped and n.solid]
+
+
+def subtrees(html: str | None) -> tuple[list[int], list[int], list[int], int]:
+    """Signed hashes of a page's distinct subtrees with text (outside articles, with the shapes there
+    if the page has an article; inside them), of its other shapes, and of the whole page."""
+    outside, inside, others = set(), set(), set()
     pieces, nodes = parse(html or "")
     whole = xxhash.xxh64_intdigest(" ".join(" ".join(pieces).split()).encode("utf-8", "surrogatepass"))
+    known = bool(_landmarks(nodes))
     for n in nodes:
-        if n.solid and not n.dropped and n.tag not in ("html", "body") and not n.landmark:
-            if not n.inside:
-                outside.add(_signed(n.digest))
-            elif n.tag not in PROSE:
-                inside.add(_signed(n.digest))
-    return sorted(outside), sorted(inside), _signed(whole)
+        if _countable(n):
+            (inside if n.inside else outside).add(_signed(n.digest))
+        if _shaped(n):
+            (outside if known and not n.inside else others).add(_signed(n.shape))
+    return sorted(outside), sorted(inside), sorted(others), _signed(whole)
+
+
+def _is_template(n: Node, template: set[int]) -> bool:
+    return _countable(n) and _signed(n.digest) in template or _shaped(n) and _signed(n.shape) in template
 
 
 def _signed(x: int) -> int:
@@ -196,24 +250,41 @@ def _signed(x: int) -> int:
 
 def main_text(html: str | None, template: set[int]) -> str:
     """The page's text without markup, template and what is no part of the article."""
+    return measured(html, template)[0]
+
+
+def measured(html: str | None, template: set[int]) -> tuple[str, int, int]:
+    """(main text, characters that the template took, characters that the fallback took after it)."""
     pieces, nodes = parse(html or "")
-    kept = bytearray(len(pieces))
-    landmarks = [n for n in nodes if n.landmark and not n.dropped and n.solid]
+    outer = sorted((n for n in nodes if n.last > n.first), key=lambda n: (n.first, -n.last))  # outer elements first
+    landmarks = _landmarks(outer)
+    unread = bytearray(len(pieces))
+    for n in outer:
+        if n.tag in RAW or n.tag in ("head", "title"):
+            unread[n.first : n.last] = b"\1" * (n.last - n.first)
+    kept = bytearray(b"\1" * len(pieces))
+    for n in outer:
+        if n.landmark and not n.dropped and n.solid:
+            kept[n.first : n.last] = b"\1" * (n.last - n.first)
+        elif template and _is_template(n, template):
+            kept[n.first : n.last] = bytes(n.last - n.first)
+    by_template = sum(len(p.strip()) for p, k, u in zip(pieces, kept, unread, strict=True) if not k and not u)
     if landmarks:
+        within = bytearray(len(pieces))
         for n in landmarks:
-            kept[n.first : n.last] = b"\1" * (n.last - n.first)
+            within[n.first : n.last] = kept[n.first : n.last]
+        rest = within
     else:
-        kept = bytearray(b"\1" * len(pieces))
-    held = bytes(kept)
-    for n in sorted(nodes, key=lambda n: (n.first, -n.last)):  # outer elements first
+        rest = bytearray(kept)
+    held = bytes(rest)
+    for n in outer:
         if n.landmark and not n.dropped and n.solid:
-            kept[n.first : n.last] = held[n.first : n.last]
-        elif n.dropped or (
-            template and n.solid and n.tag not in ("html", "body") and not (n.inside and n.tag in PROSE) and _signed(n.digest) in template
-        ):
-            kept[n.first : n.last] = bytes(n.last - n.first)
+            rest[n.first : n.last] = held[n.first : n.last]
+        elif n.dropped:
+            rest[n.first : n.last] = bytes(n.last - n.first)
+    by_fallback = sum(len(p.strip()) for p, k, r, u in zip(pieces, kept, rest, unread, strict=True) if k and not r and not u)
     # A piece that is left out parts what stands around it.
-    return " ".join("".join(p if k else " " for p, k in zip(pieces, kept, strict=True)).split())
+    return " ".join("".join(p if k else " " for p, k in zip(pieces, rest, strict=True)).split()), by_template, by_fallback
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -227,17 +298,16 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [subtrees(h.as_py()) for h in batch.column(2)]
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            kinds = (*[pa.list_(pa.int64())] * 3, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["host", "page", "outside", "inside", "whole"],
+                ["host", "page", "outside", "inside", "others", "whole"],
             )
 
-    found = materialize(
-        pages.mapInArrow(run, "host string, page binary, outside array<long>, inside array<long>, whole long"), "subtrees"
-    )
-    wholes = found.groupBy("host", "whole").agg(F.first("outside").alias("outside"), F.first("inside").alias("inside"))
+    lists = ", ".join(f"{c} array<long>" for c in ("outside", "inside", "others"))
+    found = materialize(pages.mapInArrow(run, f"host string, page binary, {lists}, whole long"), "subtrees")
+    wholes = found.groupBy("host", "whole").agg(F.min(F.struct("outside", "inside")).alias("x")).select("host", "whole", "x.*")
     sizes = wholes.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     counted = (
         wholes.select("host", F.explode(F.array(F.struct(F.col("outside").alias("h"), F.lit(False).alias("inside")), F.struct(F.col("inside").alias("h"), F.lit(True).alias("inside")))).alias("x"))
@@ -253,7 +323,7 @@ def templates(pages: DataFrame) -> DataFrame:
         .select("host", "subtree")
         .distinct()
     )
-    own = found.groupBy("host", "page").agg(F.first(F.array_union("outside", "inside")).alias("own"))
+    own = found.groupBy("host", "page").agg(F.first(F.array_union(F.array_union("outside", "inside"), "others")).alias("own"))
     return (
         own.select("host", "page", F.explode("own").alias("subtree"))
         .join(materialize(known, "templates"), ["host", "subtree"])
@@ -263,7 +333,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html, ...)`` -> page_id, url, text, n_chars, one row per row.
+    """``pages(page_id, url, html, ...)`` -> page_id, url, text, n_chars, template_chars, fallback_chars,
+    one row per row.
 
     Null html is empty and has the text "". Pages whose url names no host share one without a
     template of its own. Repeated rows and null ids each return; an empty table gives an empty
@@ -277,15 +348,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(html.as_py(), set(template.as_py() or ()))
+            found = [
+                measured(html.as_py(), set(template.as_py() or ()))
                 for html, template in zip(batch.column(2), batch.column(3), strict=True)
             ]
+            texts, by_template, by_fallback = list(zip(*found, strict=True)) or [(), (), ()]
+            counts = (map(len, texts), by_template, by_fallback)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)],
+                ["page_id", "url", "text", "n_chars", "template_chars", "fallback_chars"],
             )
 
     kinds = dict(rows.dtypes)
     joined = rows.join(known, "page", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, template_chars long, fallback_chars long")

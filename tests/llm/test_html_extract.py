@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 from rulespark.llm import html_extract as he
 
@@ -86,3 +87,48 @@ def test_template_of_a_part_of_a_large_host_is_removed(spark):
         rows.append((i, f"http://a.example/{i}", page(f"<article>{text}{notice}</article>" if i % 100 else f"{notice}<div>{text}</div>"), "t", 1))
     got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows + rows[:3], PAGES)).collect()}
     assert got == {i: f"Own {i}" + " Shared by few" * (0 < i < 20) for i in range(5000)}
+
+
+def test_words_that_only_contain_a_mark_are_article_text():
+    html = '<article><p>a</p><p class="menu-history">the menu</p><section id="related-work"><p>b</p></section><div class="share-buttons">s</div><p>c</p></article>'
+    assert he.main_text(html, set()) == "a the menu b c"
+
+
+def varied(n=12):
+    """Pages whose surroundings have the same shape and names, never the same text; the last has no article element."""
+    rows, want = [], []
+    for i in range(n):
+        nav = "".join(f'<li><a href="/{i}{k}">link{i}{k}</a></li>' for k in range(1 + i % 3))
+        around = f'<nav><ul>{nav}</ul></nav><div class="zz q{i}">offer {i}</div>'
+        body = f"<article><p>Own {i}</p><div class='zz q{i}'>again {i}</div></article>" if i < n - 1 else f"<div><p>Own {i}</p></div>"
+        rows.append((i, f"http://a.example/{i}", page(f"{around}{body}<div>Loose {i}</div>"), "t", 1))
+        want.append(f"Own {i}" + f" Loose {i}" * (i == n - 1))
+    return rows, want
+
+
+def test_shapes_recur_where_texts_change(spark):
+    rows, want = varied()
+    got = sorted(he.extract(spark.createDataFrame(rows, PAGES)).collect())
+    assert [r.text for r in got] == want
+    assert all(r.template_chars for r in got) and got[-1].fallback_chars == 0
+
+
+def test_templates_match_counting_by_hand(spark):
+    rows = site()[0] + [(100 + i, u.replace("a.", "c."), h, t, 1) for i, u, h, t, _ in varied()[0]] + site(7)[0]
+    pages = spark.createDataFrame([(u.split("/")[2], f"{u} {i}".encode(), h) for i, u, h, *_ in rows], "host string, page binary, html string")
+    got = {bytes(r.page): set(r.template) for r in he.templates(pages).collect()}
+    seen = defaultdict(dict)
+    for host, _, html in pages.collect():
+        outside, inside, _, whole = he.subtrees(html)
+        seen[host][whole] = [(False, x) for x in outside] + [(True, x) for x in inside]
+    want = {}
+    for host, at, html in pages.collect():
+        n, count = len(seen[host]), defaultdict(int)
+        for own in seen[host].values():
+            for x in own:
+                count[x] += 1
+        known = {x for (inner, x), m in count.items() if n >= 5 <= m and m >= min((0.5 if inner else 0.1) * n, 50)}
+        outside, inside, others, _ = he.subtrees(html)
+        if own := known & {*outside, *inside, *others}:
+            want[bytes(at)] = own
+    assert got == want and len(want) > 30
