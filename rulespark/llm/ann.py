@@ -6,11 +6,16 @@ each array; a vector that lies in at least ``threshold`` of the windows is verif
 true distance. Virtual rehashing widens all windows by a factor at a time, and only the new
 ends of a window are counted. The search of a block ends when a vector as near as the
 query's k-th best so far would, with probability ``SURE``, have reached the threshold already:
-so the number of candidates is not capped, and dense neighbourhoods are verified whole.
+so the number of candidates is not capped, and dense neighbourhoods are verified whole. A block
+searched after others starts with the window that the k-th best so far asks for, which is one round.
 
 The index is built over all vectors, in blocks of bounded size that stay where they are
 read. Queries are a stated set; they go to the blocks in groups of at most ``QUERIES``
 vectors, which bounds what is broadcast, and each task returns its best k for each query.
+Each query passes each block: with queries a fixed share of the rows the work grows with the
+square of the table, as for any search of a stated query set in blocks. Windows of a neighbour's
+width cover much of each projection where vectors have many independent dimensions, so dealing
+(query, vector) collisions over the cluster would move more rows than the blocks have.
 """
 
 from __future__ import annotations
@@ -88,21 +93,39 @@ class Block:
         projected = vectors @ along
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        # One array for all projections: each has its own range of values, so one search serves all.
+        self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
+        self.shift = np.arange(PROJECTIONS) * (2 * float(self.high.max() - self.low.min()) + 1)
+        self.first = np.arange(PROJECTIONS) * len(ids)
+        self.flat = (self.sorted + self.shift[:, None]).ravel()
+
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each projection, the places in its sorted array of what lies within ``half`` of ``at``."""
+        low = np.searchsorted(self.flat, np.clip(at - half, self.low, self.high) + self.shift, "left")
+        high = np.searchsorted(self.flat, np.clip(at + half, self.low, self.high) + self.shift, "right")
+        # A window that ends before the first value or begins after the last holds nothing.
+        high = np.where(at + half < self.low, low, high)
+        return np.where(at - half > self.high, high, low) - self.first, high - self.first
 
     def search(self, query_id: int, query: np.ndarray, at: np.ndarray, first: float, best: list[tuple[float, int]], k: int) -> None:
-        """Adds to ``best`` (distance, id), sorted, of at most ``k``. ``first``: the first half window."""
-        n, m = len(self.ids), PROJECTIONS
+        """Adds to ``best`` (distance, id), sorted, of at most ``k``. ``first``: the first half window,
+        unless ``best`` is full: then the search starts at what its k-th asks for."""
+        n = len(self.ids)
         counts = np.zeros(n, np.int16)
-        left = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
-        right = left.copy()
         pending = np.ones(n, bool)
-        half, need = first, threshold()
+        half, need = max(first, 1e-12), threshold()
+        if len(best) == k:
+            half = max(reach() * best[-1][0], 1e-12)
+        left = right = None
         while True:
-            low = np.array([np.searchsorted(s, x, "left") for s, x in zip(self.sorted, at - half, strict=True)])
-            high = np.array([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, at + half, strict=True)])
-            ends = [self.order[j, a:b] for j in range(m) for a, b in ((low[j], left[j]), (right[j], high[j])) if a < b]
-            left, right = np.minimum(low, left), np.maximum(high, right)
+            low, high = self.windows(at, half)
+            if left is None:
+                left = right = low
+            low, high = np.minimum(low, left), np.maximum(high, right)
+            pairs = ((j, a, b) for j in range(PROJECTIONS) for a, b in ((low[j], left[j]), (right[j], high[j])) if a < b)
+            ends = [self.order[j, a:b] for j, a, b in pairs]
+            left, right = low, high
             if ends:
                 counts += np.bincount(np.concatenate(ends), minlength=n).astype(np.int16)
             found = np.flatnonzero(pending & (counts >= need))

@@ -76,9 +76,13 @@ def test_empty_table(spark):
     assert bestfit.pack(df).collect() == [] and packing.pack_matrices(df).collect() == []
 
 
-def test_ranks_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(bestfit, "RANK_BUCKET", 3)
-    df = spark.createDataFrame(rows() * 3, SCHEMA)
+def test_ranks_over_many_tasks(spark):
+    df = spark.createDataFrame(rows() * 3, SCHEMA).repartition(7)
+    written = bestfit.materialize(bestfit.pieces(df), "t")
+    ranks = defaultdict(list)
+    for r in bestfit.ranked(written).collect():
+        ranks[r.length].append(r.rank)
+    assert all(sorted(own) == list(range(len(own))) for own in ranks.values()) and len(ranks) > 3
     got = bestfit.pack(df).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
