@@ -236,87 +236,6 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.join(shifts, ["length", "part"]).select(*own, (F.col("nth") + F.col("shift")).alias("rank"))
 
 
-def pack(self) -> list[Placement]:
-        self.reduce()
-        self.best_fit()
-        return self.placements
-
-
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> its pieces; ``with_ids`` adds the ids, little-endian uint32.
-
-    ``part`` is the task's number and ``nth`` the place among the task's pieces of that length; they
-    belong together once the pieces are written, since one attempt of a task is committed whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7 + with_ids)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = document_ids(text.as_py(), encode)
-                for k, (start, length) in enumerate(cuts(len(ids), capacity)):
-                    data = ids[start : start + length].tobytes()
-                    row = (doc_id, k, start, length, zlib.crc32(data), part, seen[length], data)
-                    seen[length] += 1
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names[: len(out)])
-
-    arrow_limits(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)
-
-
-def assign(rows: DataFrame, placements: list[Placement]) -> DataFrame:
-    """``rows(..., length, rank)`` -> with sequence_id and offset. The placements are at most a
-    few for each length and each change of room, so their number is bounded by the capacity."""
-    by_length: dict[int, tuple[np.ndarray, ...]] = {}
-    for size in {p.length for p in placements}:
-        own = [p for p in placements if p.length == size]
-        ends = np.cumsum([p.bins * p.each for p in own])
-        by_length[size] = (ends, *(np.array([p[k] for p in own]) for k in (1, 2, 3, 4)))
-    held = rows.sparkSession.sparkContext.broadcast(by_length)
-
-    names = [f.name for f in rows.schema if f.name != "rank"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("rank")).to_numpy()
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for size in np.unique(length):
-                at = np.flatnonzero(length == size)
-                ends, first, _, each, start = held.value[int(size)]
-                k = np.searchsorted(ends, rank[at], side="right")
-                within = rank[at] - np.where(k > 0, ends[k - 1], 0)
-                sequence[at] = first[k] + within // each[k]
-                offset[at] = start[k] + within % each[k] * size
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
-            )
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "rank")
-    return rows.mapInArrow(run, f"{schema}, sequence_id long, offset long")
-
-
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``rank``: 0, 1, ... within each length. A length is dealt into buckets by
-    a hash of its rows; each bucket is numbered apart and shifted by the buckets before it."""
-    buckets = max(1, -(-total // RANK_BUCKET))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    numbered = dealt.withColumn("own", F.row_number().over(own) - 1)
-    return numbered.join(shifts, ["length", "bucket"]).select(
-        *rows.columns, (F.col("own") + F.col("shift")).alias("rank")
-    )
-
-
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per piece with its sequence_id and offset.
 

@@ -56,6 +56,8 @@ class Benchmark:
         self.shortest = min(window, min(map(len, texts), default=window))
         #: All items, each followed by -2; the suffixes that hold a window start in here.
         flat: list[int] = []
+        self.names: list[int] = []
+        firsts: list[int] = []
         windows: dict[tuple[int, ...], tuple[set[int], list[int]]] = {}
         for ids, names in texts.items():
             w = min(window, len(ids))
@@ -63,8 +65,12 @@ class Benchmark:
                 owners, starts = windows.setdefault(ids[at : at + w], (set(), []))
                 owners.update(names)
                 starts.append(len(flat) + at)
+            firsts.append(len(flat))
+            self.names.append(min(names))
             flat += [*ids, -2]
         self.flat = np.array(flat, np.int32)
+        #: Where each text starts in ``flat``, and the smallest of its items.
+        self.firsts = np.array(firsts, np.int64)
         self.need = np.array([len(k) for k in windows], np.int64)
         self.tests = np.array([[*k, *[-2] * (window - len(k))] for k in windows], np.int32).reshape(-1, window)
         self.owners = [sorted(x[0]) for x in windows.values()]
@@ -138,35 +144,40 @@ def search(text: np.ndarray, group: Benchmark) -> tuple[np.ndarray, np.ndarray]:
     return places[order[np.repeat(low, counts) + inside]], which
 
 
-def extents(text: np.ndarray, place: np.ndarray, which: np.ndarray, group: Benchmark) -> np.ndarray:
-    """How many words agree from each occurrence on, with the item that agrees longest."""
-    out = group.need[which].copy()
+def extents(text: np.ndarray, place: np.ndarray, which: np.ndarray, group: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(how many words agree from each occurrence on, the item that agrees longest, the smallest of such)."""
+    longest, item = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     pad = 16
     text = np.concatenate((text, np.full(pad, -1, text.dtype)))
     flat = np.concatenate((group.flat, np.full(pad, -2, group.flat.dtype)))
-    many = np.array([len(x) for x in group.starts])
+    many, names = np.array([len(x) for x in group.starts]), np.array(group.names, np.int64)
     for first in range(0, len(place), 1 << 14):
         own = np.arange(first, min(len(place), first + (1 << 14)))
         row = np.repeat(own, many[which[own]])
-        a = place[row] + group.need[which[row]]
-        b = np.concatenate([group.starts[w] for w in which[own]]) + group.need[which[row]]
-        while len(row):
+        starts = np.concatenate([group.starts[w] for w in which[own]])
+        length = group.need[which[row]].copy()
+        on = np.arange(len(row))
+        while len(on):
+            a, b = place[row[on]] + length[on], starts[on] + length[on]
             same = text[a[:, None] + np.arange(pad)] == flat[b[:, None] + np.arange(pad)]
             run = np.where(same.all(axis=1), pad, same.argmin(axis=1))
-            np.maximum.at(out, row, a + run - place[row])
-            on = run == pad
-            row, a, b = row[on], a[on] + pad, b[on] + pad
-    return out
+            length[on] += run
+            on = on[run == pad]
+        by = names[np.searchsorted(group.firsts, starts, side="right") - 1]
+        order = np.lexsort((by, -length, row))
+        best = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
+        longest[row[best]], item[row[best]] = length[best], by[best]
+    return longest, item
 
 
 class _Document:
     """What is known of one document while its shards are searched."""
 
-    __slots__ = ("row", "n_words", "spans", "items", "longest", "where")
+    __slots__ = ("row", "n_words", "spans", "items", "longest", "where", "item")
 
-    def __init__(self, row, n_words, spans, items, longest, where):
+    def __init__(self, row, n_words, spans, items, longest, where, item):
         self.row, self.n_words, self.spans, self.items = row, n_words, spans, items
-        self.longest, self.where = longest, where
+        self.longest, self.where, self.item = longest, where, item
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -185,7 +196,7 @@ def _search_shard(parts: list[tuple[_Document, int, np.ndarray]], group: Benchma
     lengths = np.array([len(p[2]) + 1 for p in parts])
     firsts = np.cumsum(lengths) - lengths
     place, which = search(ids, group)
-    longest = extents(ids, place, which, group)
+    longest, item = extents(ids, place, which, group)
     part = np.searchsorted(firsts, place, side="right") - 1
     by_part = np.argsort(part, kind="stable")
     for own in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(part) else []:
@@ -194,9 +205,10 @@ def _search_shard(parts: list[tuple[_Document, int, np.ndarray]], group: Benchma
         doc.spans = _merge([*doc.spans, *zip(at.tolist(), (at + group.need[which[own]]).tolist(), strict=True)])
         for w in np.unique(which[own]).tolist():
             doc.items.update(group.owners[w])
-        best = np.lexsort((at, -longest[own]))[0]
-        if longest[own[best]] > doc.longest:
-            doc.longest, doc.where = int(longest[own[best]]), int(at[best])
+        best = np.lexsort((item[own], at, -longest[own]))[0]
+        met = (-int(longest[own[best]]), int(at[best]), int(item[own[best]]))
+        if not doc.longest or met < (-doc.longest, doc.where, doc.item):
+            doc.longest, doc.where, doc.item = -met[0], met[1], met[2]
 
 
 def _searched(documents: Iterator[tuple[_Document, str | None]], group: Benchmark, shard_words: int) -> Iterator[_Document]:
@@ -242,7 +254,9 @@ def matches(
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs(text, ...)`` -> its rows with further columns, and those columns' names by role:
     n_words, n_hit (words inside a window's occurrence), items (sorted ids), longest (words of
-    the longest verbatim match of at least a window) and longest_at (its first word; -1: none).
+    the longest verbatim match of at least a window), longest_at (its first word; -1: none) and
+    longest_item (the item that it is in; null: none). Of equally long matches the first counts,
+    of items with the same one the smallest.
 
     Null texts have no words; null and repeated item_ids count as no item and as one; equal
     items are both found. An empty benchmark hits nothing. Names do not clash with columns of
@@ -250,7 +264,7 @@ def matches(
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    roles = ("n_words", "spans", "items", "longest", "longest_at")
+    roles = ("n_words", "spans", "items", "longest", "longest_at", "longest_item")
     names = dict(zip(roles, fresh(docs, *roles), strict=True))
     out = docs.withColumns(
         {
@@ -259,20 +273,21 @@ def matches(
             names["items"]: F.array().cast("array<long>"),
             names["longest"]: F.lit(0).cast("long"),
             names["longest_at"]: F.lit(-1).cast("long"),
+            names["longest_item"]: F.lit(None).cast("long"),
         }
     )
     for group in _groups(benchmark, group_bytes, window):
         held = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            group, kinds = held.value, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            group, kinds = held.value, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 3]
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index("text"))
-                n, spans, items, longest, where = (
+                n, spans, items, longest, where, item = (
                     batch.column(batch.schema.get_field_index(names[r])).to_pylist() for r in roles
                 )
                 found = (
-                    _Document(i, n[i], list(zip(spans[i][::2], spans[i][1::2], strict=True)), set(items[i]), longest[i], where[i])
+                    _Document(i, n[i], list(zip(spans[i][::2], spans[i][1::2], strict=True)), set(items[i]), longest[i], where[i], item[i])
                     for i in range(batch.num_rows)
                 )
                 done = list(_searched(((d, text[d.row].as_py()) for d in found), group, shard_words))
@@ -282,6 +297,7 @@ def matches(
                     [sorted(d.items) for d in done],
                     [d.longest for d in done],
                     [d.where for d in done],
+                    [d.item for d in done],
                 ]
                 for role, column, kind in zip(roles, values, kinds, strict=True):
                     at = batch.schema.get_field_index(names[role])
@@ -293,7 +309,8 @@ def matches(
 
 
 def report(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS, **options) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_at."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
+    longest_match, longest_at, longest_item (see ``matches``)."""
     found, names = matches(docs.select("doc_id", "text"), benchmark, **options)
     spans, ids = F.col(names["spans"]), F.col(names["items"])
     steps = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
@@ -307,6 +324,7 @@ def report(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS, **options)
         (F.size(ids) >= items).alias("contaminated"),
         F.col(names["longest"]).alias("longest_match"),
         F.col(names["longest_at"]).alias("longest_at"),
+        F.col(names["longest_item"]).alias("longest_item"),
     )
 
 

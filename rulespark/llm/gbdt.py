@@ -164,15 +164,17 @@ def _matrix(texts) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """``docs(doc_id, text, ...)``, ``labels(doc_id, quality, ...)`` -> trees.
 
-    At most ``rows`` labels, of the smallest hashes of their ids, go to the documents: that
-    bounds what is broadcast and what comes back. Null ids and labels are left out."""
+    At most ``rows`` labels, of the smallest hashes of their ids, go to the documents, which bounds
+    what is broadcast; of the documents they meet (an id may repeat) at most ``rows``, of the
+    smallest hashes of id and text, come back. Null ids and labels are left out; no label at all
+    gives a constant. Empty and null texts train like any other."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = _matrix(t.as_py() for t in batch.column(0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(values.tolist(), pa.list_(pa.float64()))], ["quality", "x"]
+                [batch.column(1), batch.column(2), pa.array(values.tolist(), pa.list_(pa.float64()))], ["quality", "h", "x"]
             )
 
     wanted = (
@@ -183,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     )
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     labelled = own.join(F.broadcast(wanted), own["doc_id"] == wanted["label_id"])
-    got = labelled.select("text", "quality").mapInArrow(run, "quality int, x array<double>").toArrow()
+    hashed = labelled.select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))
+    got = hashed.mapInArrow(run, "quality int, h long, x array<double>").orderBy("h", "quality").limit(rows).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.array(got.column("quality").to_pylist(), np.float64)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which tasks end
@@ -191,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, score, for every row."""
+    """``docs(doc_id, text, ...)`` -> doc_id, score, for every row, null ids and texts too."""
     held = docs.sparkSession.sparkContext.broadcast(trees)
     arrow_limits(docs.sparkSession)
 

@@ -12,12 +12,11 @@ second-best codeword is nearly as good.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +31,25 @@ AMBIGUOUS = 0.55
 #: Bytes hashed at a time.
 CHUNK = 1 << 16
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that one model tells apart, at most: it has 128 KiB of weights for each bit of a code.
+LANGUAGES = 2000
+
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hashed byte bigrams, trigrams and 4-grams of a text, ASCII letters lower-cased, in chunks."""
+    """Hashed byte bigrams, trigrams and 4-grams of a text, ASCII letters lower-cased, each once,
+    in chunks of those that start within ``CHUNK`` bytes."""
     data = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").lower() + b" ", np.uint8).astype(np.uint32)
     for at in range(0, len(data), CHUNK):
         b = data[at : at + CHUNK + 3]
         two = b[:-1] << 8 | b[1:]
-        out = [two * np.uint32(2654435761) >> np.uint32(17)]
+        out = [two[:CHUNK] * np.uint32(2654435761) >> np.uint32(17)]
         if len(b) > 2:
             three = two[:-1] << 8 | b[2:]
-            out.append(three * np.uint32(2246822519) >> np.uint32(17))
+            out.append(three[:CHUNK] * np.uint32(2246822519) >> np.uint32(17))
         if len(b) > 3:
-            out.append((three[:-1] << 8 | b[3:]) * np.uint32(3266489917) >> np.uint32(17))
+            out.append((three[:-1] << 8 | b[3:])[:CHUNK] * np.uint32(3266489917) >> np.uint32(17))
         yield np.concatenate(out)
 
 
@@ -69,7 +72,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     length = int(np.ceil(10 * np.log2(n)))
     for _ in range(60):
         code = rng.choice(np.array([-1, 1], np.int8), (n, length))
-        apart = min(int((a != b).sum()) for a, b in combinations(code, 2)) if n <= 64 else 0
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -length)
+        apart = int(length - alike.max()) // 2
         if apart > spread and (abs(code.sum(axis=0)) < n).all():
             best, spread = code, apart
     return best
@@ -105,7 +110,7 @@ class LanguageModel:
         return total / max(n, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, ambiguous)."""
+        """(language, score, ambiguous). Equally near codewords: the first language by name, ambiguous."""
         if not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
@@ -118,7 +123,12 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, train: Column) -> LanguageModel:
-    """Counts over all rows of ``docs(text, lang, ...)`` where ``train`` holds and lang is not null."""
+    """Counts over all rows of ``docs(text, lang, ...)`` where ``train`` holds and lang is not null.
+
+    Null texts and texts without a letter teach nothing; a repeated row counts each time; a very
+    long text is counted whole; a null ``train`` is false. Without any such row the model knows no
+    language and calls every text undetermined. More than ``LANGUAGES`` languages raise ValueError.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
 
@@ -136,7 +146,9 @@ def fit(docs: DataFrame, train: Column) -> LanguageModel:
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "gram", "n"]
             )
 
-    rows = docs.where(train & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = docs.where(F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     summed = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     for batch in summed.toArrow().to_batches():
@@ -149,7 +161,14 @@ def fit(docs: DataFrame, train: Column) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]) -> DataFrame:
-    """``docs(text, ...)`` with three further columns: language, score, ambiguous."""
+    """``docs(text, ...)`` with three further columns: language, score, ambiguous.
+
+    Null and empty texts and texts without a letter (Unicode category L) are undetermined, score
+    0, ambiguous. Repeated rows and null ids each return; an empty table gives an empty one. Names
+    that ``docs`` has already raise ValueError (``fresh`` finds others).
+    """
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"one of {', '.join(names)} is a column already")
     held = docs.sparkSession.sparkContext.broadcast(model)
     arrow_limits(docs.sparkSession)
 

@@ -5,7 +5,9 @@ stands too close together: a phone number followed by a card number is one long
 digits for both. The semi-Markov model scores whole candidate segments (digit counts,
 group shapes, checksums, neighbours) and a dynamic program over segments of at most
 ``MAX_TOKENS`` tokens chooses boundaries and types jointly. It reads what the base spans
-leave around digits and at-signs; base spans stay, its entities are added.
+leave; base spans stay, its entities are added. The program runs along the text and keeps
+only the paths that can still win, so a long text is decoded as a short one is. Tokens with
+no digit or at-sign within ``MAX_TOKENS`` of them can be in no segment and are skipped.
 
 The model is trained here, on sequences drawn from a seeded generator (see ``examples``);
 it does not depend on the corpus and is the same in every run.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, inf, sqrt
@@ -31,12 +33,8 @@ from rulespark.llm.common import arrow_limits
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens in one entity, at most.
 MAX_TOKENS = 28
-#: Groups of digits in one entity, at most.
-MAX_GROUPS = 6
-#: Tokens that one lattice holds.
-PART_TOKENS = 5000
-#: Characters around a digit or at-sign that the model reads.
-CONTEXT = 80
+#: Tokens held at a time while a text is decoded.
+BLOCK = 4096
 
 Span = tuple[str, int, int]
 
@@ -146,27 +144,28 @@ def _by_bracket(tokens: list[str], j: int) -> bool:
     return j > 0 and tokens[j - 1] in "[()]@" or j + 1 < len(tokens) and tokens[j + 1] in "[()]@"
 
 
-def _candidates(tokens: list[str]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of the segments that can be entities at all."""
-    for i, first in enumerate(tokens):
-        if first[0].isascii() and (first.isdigit() or first in "+("):
-            digits = groups = 0
+def _candidates(tokens: list[str], first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the segments that can be entities at all and start in [first, last)."""
+    for i in range(first, len(tokens) if last is None else last):
+        head = tokens[i]
+        if head[0].isascii() and (head.isdigit() or head in "+("):
+            digits = 0
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 t = tokens[j]
                 if t.isdigit() and t.isascii():
-                    digits, groups = digits + len(t), groups + 1
-                    if digits > 19 or groups > MAX_GROUPS:
+                    digits += len(t)
+                    if digits > 19:
                         break
                     if digits >= 4:
-                        if first.isdigit() and j == i + 6 and tokens[i + 1] == ".":
+                        if head.isdigit() and j == i + 6 and tokens[i + 1] == ".":
                             yield i, j + 1, "ip"
-                        if digits >= 13 and first.isdigit():
+                        if digits >= 13 and head.isdigit():
                             yield i, j + 1, "card"
                         if 7 <= digits <= 15:
                             yield i, j + 1, "phone"
                 elif t not in " ().-" and not (j == i and t == "+"):
                     break
-        if (first[0].isascii() and (first[0].isalnum() or first in "._%+-")) and (i == 0 or tokens[i - 1] not in "._%+-"):
+        if (head[0].isascii() and (head[0].isalnum() or head[0] in "._%+-")) and (i == 0 or tokens[i - 1] not in "._%+-"):
             seen = False
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 t = tokens[j]
@@ -182,45 +181,81 @@ def _candidates(tokens: list[str]) -> Iterator[tuple[int, int, str]]:
                     yield i, j + 1, "email"
 
 
+def _blocks(text: str, a: int, b: int, block: int) -> Iterator[tuple[list[str], list[int], int, int]]:
+    """The tokens of text[a:b] in runs: (tokens, their places and the end, first, last); those from
+    first to last are the run's own, one before and ``MAX_TOKENS`` + 1 after them are its surroundings."""
+    found = _TOKEN.finditer(text, a, b)
+    tokens: list[str] = []
+    at: list[int] = []
+    first, more = 0, True
+    while more:
+        while len(tokens) < first + block + MAX_TOKENS + 1 and (m := next(found, None)):
+            tokens.append(m[0])
+            at.append(m.start())
+        more = len(tokens) == first + block + MAX_TOKENS + 1
+        last = first + block if more else len(tokens)
+        yield tokens, [*at, at[-1] + len(tokens[-1]) if at else a], first, last
+        tokens, at = tokens[last - 1 :], at[last - 1 :]
+        first = 1
+
+
+def decode(text: str, a: int, b: int, weights: dict[str, float], block: int | None = None) -> list[Span]:
+    """The best segmentation of text[a:b]: its entities, by start. Ties go to the earlier start."""
+    k = len(_LABELS)
+    move = [[weights.get(f"{x}>{y}", 0.0) for y in _LABELS] for x in _LABELS]
+    fresh = lambda: ([-inf] * k, [None] * k)
+    # (scores, paths) of segmentations that end at this token and at each of the next ones; a
+    # path is (path before, entity), shared by all that continue it.
+    ahead: deque = deque([([0.0, *[-inf] * (k - 1)], [None] * k), *(fresh() for _ in range(MAX_TOKENS))])
+
+    def step(here, there, label: int, own: float, span: Span | None) -> None:
+        scores, paths = here
+        for was in range(k):
+            s = scores[was] + move[was][label] + own
+            if s > there[0][label]:
+                there[0][label] = s
+                there[1][label] = (paths[was], span) if span else paths[was]
+
+    for tokens, at, first, last in _blocks(text, a, b, block or BLOCK):
+        starts: dict[int, list[tuple[int, str]]] = {}
+        for i, j, kind in _candidates(tokens, first, last):
+            starts.setdefault(i, []).append((j, kind))
+        for i in range(first, last):
+            here = ahead.popleft()
+            ahead.append(fresh())
+            x = at[i]
+            left = text[x - 1 : x]
+            step(here, ahead[0], 0, sum(weights.get(f, 0.0) for f in _outside(tokens[i], left)), None)
+            for j, kind in starts.get(i, ()):
+                y = at[j]
+                own = sum(weights.get(f, 0.0) for f in _features(kind, text[x:y], left, text[y : y + 1]))
+                step(here, ahead[j - i - 1], _LABELS.index(kind), own, (kind, x, y))
+    scores, paths = ahead[0]
+    path = paths[max(range(k), key=lambda y: scores[y])]
+    out: list[Span] = []
+    while path:
+        path, span = path
+        out.append(span)
+    return out[::-1]
+
+
 class _Lattice:
-    """Candidate segments of one stretch of text, each with its features."""
+    """Candidate segments of one training text, each with its features."""
 
-    def __init__(self, text: str, before: str = "", after: str = ""):
+    def __init__(self, text: str):
         self.tokens = _TOKEN.findall(text)
         self.at = [0]
         for t in self.tokens:
             self.at.append(self.at[-1] + len(t))
         self.ending: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(len(self.tokens) + 1)]
-        near = lambda i: text[i - 1] if i else before
+        near = lambda i: text[i - 1 : i] if i else ""
         for i, t in enumerate(self.tokens):
             self.ending[i + 1].append((i, 0, _outside(t, near(self.at[i]))))
         for i, j, kind in _candidates(self.tokens):
             a, b = self.at[i], self.at[j]
-            right = text[b] if b < len(text) else after
+            right = text[b : b + 1]
             self.ending[j].append((i, _LABELS.index(kind), _features(kind, text[a:b], near(a), right)))
 
-    def best(self, weights: dict[str, float]) -> list[Span]:
-        n, k = len(self.tokens), len(_LABELS)
-        move = [[weights.get(f"{a}>{b}", 0.0) for b in _LABELS] for a in _LABELS]
-        score = [[-inf] * k for _ in range(n + 1)]
-        back: list[list[tuple[int, int] | None]] = [[None] * k for _ in range(n + 1)]
-        score[0][0] = 0.0
-        for end in range(1, n + 1):
-            for start, label, features in self.ending[end]:
-                own = sum(weights.get(f, 0.0) for f in features)
-                for was in range(k):
-                    s = score[start][was] + move[was][label] + own
-                    if s > score[end][label]:
-                        score[end][label], back[end][label] = s, (start, was)
-        out: list[Span] = []
-        end, label = n, max(range(k), key=lambda y: score[n][y])
-        while end:
-            start, was = back[end][label]  # type: ignore[misc]
-            if label:
-                out.append((_LABELS[label], self.at[start], self.at[end]))
-            end, label = start, was
-        return out[::-1]
-
     def gradient(self, weights: dict[str, float], gold: list[Span]) -> dict[str, float]:
         """Of the conditional log-likelihood: features of the gold segments less expected ones."""
         n, k = len(self.tokens), len(_LABELS)
@@ -279,8 +314,8 @@ def examples(count: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def card() -> str:
         body = rnd.choice("3456") + d(14)
         whole = next(body + c for c in "0123456789" if luhn(body + c))
-        gap = rnd.choice(["", "", " ", "-"])
-        return gap.join(whole[i : i + 4] for i in range(0, 16, 4))
+        gap, size = rnd.choice([("", 4), ("", 4), (" ", 4), ("-", 4), (" ", 2)])
+        return gap.join(whole[i : i + size] for i in range(0, 16, size))
 
     def ip() -> str:
         return ".".join(str(rnd.randrange(1, 256)) for _ in range(4))
@@ -288,7 +323,7 @@ def examples(count: int = 900, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def phone() -> str:
         return rnd.choice(
             [f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"+{d(2)}{d(9)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}",
-             f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]
+             f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+{d(2)} (0){d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]
         )
 
     def email() -> str:
@@ -337,61 +372,53 @@ def model(epochs: int = 8, rate: float = 0.4, shrink: float = 1e-4) -> dict[str,
     return {f: w for f, w in weights.items() if abs(w) > 1e-6}
 
 
-def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
-    """Entities of the model in what the base spans leave around triggers."""
-    taken = sorted((a, b) for _, a, b in base)
-    stretches: list[list[int]] = []
-    i = 0
-    for m in _TRIGGER.finditer(text):
-        at = m.start()
-        while i < len(taken) and taken[i][1] <= at:
-            i += 1
-        if any(a <= at < b for a, b in taken[i : i + 1]):
-            continue
-        a, b = max(0, at - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
-        else:
-            stretches.append([a, b])
-    free: list[tuple[int, int]] = []
-    for a, b in stretches:
-        for s, e in taken:
-            if e > a and s < b:
-                if s > a:
-                    free.append((a, s))
-                a = max(a, e)
-        if a < b:
-            free.append((a, b))
-    out: list[Span] = []
+def _reach(text: str, at: int, a: int, b: int, forward: bool) -> int:
+    """The place ``MAX_TOKENS`` + 1 whole tokens before ``at``, or after it; at most ``a``, ``b``."""
+    wide = 16 * MAX_TOKENS
+    while True:
+        low, high = (at, min(b, at + wide)) if forward else (max(a, at - wide), at)
+        found = [m.start() for m in _TOKEN.finditer(text, low, high)]
+        # The token at the edge may be cut; the next wider look shows it whole.
+        if forward and (high == b or len(found) > MAX_TOKENS + 2):
+            return b if len(found) <= MAX_TOKENS + 2 else found[MAX_TOKENS + 2]
+        if not forward and (low == a or len(found) > MAX_TOKENS + 2):
+            return a if len(found) <= MAX_TOKENS + 2 else found[-MAX_TOKENS - 1]
+        wide *= 4
+
+
+def _stretches(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What base spans leave, within ``MAX_TOKENS`` of digits and at-signs: all that can be in a segment."""
+    free, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in base):
+        if a > at:
+            free.append((at, a))
+        at = max(at, b)
+    if at < len(text):
+        free.append((at, len(text)))
     for a, b in free:
-        if not _TRIGGER.search(text, a, b):
-            continue
-        for s, e in _parts(text, a, b):
-            lattice = _Lattice(text[s:e], text[s - 1 : s] if s else "", text[e : e + 1])
-            out += [(kind, s + x, s + y) for kind, x, y in lattice.best(weights)]
-    return out
+        near: list[list[int]] = []
+        for m in _TRIGGER.finditer(text, a, b):
+            # A token has a character at least: what is so near is within reach.
+            if near and m.start() - near[-1][1] <= MAX_TOKENS:
+                near[-1][1] = m.end()
+            else:
+                near.append([m.start(), m.end()])
+        own: tuple[int, int] | None = None
+        for low, high in near:
+            low, high = _reach(text, low, a, b, False), _reach(text, high, a, b, True)
+            if own and low <= own[1]:
+                own = own[0], max(high, own[1])
+            else:
+                if own:
+                    yield own
+                own = low, high
+        if own:
+            yield own
 
 
-def _parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """The stretch in parts of at most ``PART_TOKENS`` tokens, for bounded memory, cut where no
-    candidate entity runs across; only if one runs over every place of a whole part, at its end."""
-    tokens = _TOKEN.findall(text[a:b])
-    if len(tokens) <= PART_TOKENS:
-        yield a, b
-        return
-    crossed = [0] * (len(tokens) + 1)
-    for i, j, _ in _candidates(tokens):
-        crossed[i + 1] += 1
-        crossed[j] -= 1
-    for k in range(1, len(crossed)):
-        crossed[k] += crossed[k - 1]
-    first, at = 0, a
-    while first < len(tokens):
-        last = min(len(tokens), first + PART_TOKENS)
-        cut = last if last == len(tokens) else next((k for k in range(last, first, -1) if not crossed[k]), last)
-        end = at + sum(map(len, tokens[first:cut]))
-        yield at, end
-        first, at = cut, end
+def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
+    """Entities of the model in what the base spans leave."""
+    return [span for a, b in _stretches(text, base) for span in decode(text, a, b, weights)]
 
 
 def find(text: str | None, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
@@ -419,7 +446,7 @@ def _joined(spans: list[Span]) -> str:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, base counts n_<kind>, base_sha256,
-    spans (all), n_added. A null text is an empty one; repeated rows and null ids each return;
+    spans (all), n_spans, n_added. A null text is an empty one; repeated rows and null ids each return;
     an empty table gives an empty one; further columns are ignored."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -436,19 +463,20 @@ def report(docs: DataFrame) -> DataFrame:
                     *counts,
                     pa.array(shas, pa.string()),
                     pa.array([_joined(every) for _, every in found], pa.string()),
+                    pa.array([len(every) for _, every in found], pa.int64()),
                     pa.array([len(every) - len(base) for base, every in found], pa.int64()),
                 ],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added"],
             )
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long"
+        run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long, n_added long"
     )
 
 
 def redacted(text: Column, spark) -> Column:
-    """The text with every span replaced; null stays null."""
+    """The text with every span replaced; null stays null, and an empty text empty."""
     held = spark.sparkContext.broadcast(model())
 
     @F.pandas_udf("string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.llm import ann, bestfit, decontam, gbdt, html_extract, langid, packing, pii, rollup, simhash
-from rulespark.llm.common import crc_fold, scratch, table
+from rulespark.llm.common import crc_fold, materialize, scratch, table
 
 
 def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,18 @@ def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted as one batch, which is then retried: the second commit adds nothing."""
-    counts = rollup.inserts(rollup.count_tokens(table(spark, sf_dir, "documents")))
+    """Word counts as a first load, revised to token counts; a second load by mistake, deleted again;
+    retries of two batches, and a compaction between. What stays is each document's tokens, once."""
+    docs = table(spark, sf_dir, "documents")
+    words, tokens = rollup.count_words(docs), materialize(rollup.count_tokens(docs), "token-counts")
     totals = rollup.TokenRollup(spark, scratch(spark, "token-rollup"))
-    totals.commit("load-1", counts)
-    totals.commit("load-1", counts)
+    totals.commit("load-1", rollup.inserts(words))
+    totals.commit("load-2", rollup.inserts(tokens))
+    totals.commit("revise-1", rollup.revisions(words, tokens))
+    totals.compact("until-revision")
+    totals.commit("revise-1", rollup.revisions(words, tokens))
+    totals.commit("undo-2", rollup.deletes(tokens))
+    totals.commit("load-1", rollup.inserts(words))
     return totals.totals()
 
 
@@ -49,8 +56,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("longest_match", "longest_at")
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OP7_SQL = """
@@ -66,12 +72,19 @@ item_starts AS (
   SELECT item_id, w, least(8, len(w)) AS n, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS a
   FROM item_words WHERE len(w) > 0),
 windows AS (
-  SELECT DISTINCT item_id, n, array_to_string(w[a:a + n - 1], ' ') AS g FROM item_starts),
+  SELECT DISTINCT item_id, n, a, array_to_string(w[a:a + n - 1], ' ') AS g FROM item_starts),
 sizes AS (SELECT DISTINCT n FROM windows),
 doc_starts AS (
   SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc_words, sizes WHERE len(w) >= n),
 grams AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM doc_starts),
-hits AS (SELECT DISTINCT r, p, n, item_id FROM grams JOIN windows USING (n, g)),
+pairs AS (SELECT r, p, n, item_id, a FROM grams JOIN windows USING (n, g)),
+hits AS (SELECT DISTINCT r, p, n, item_id FROM pairs),
+runs AS (
+  SELECT r, p, n, item_id, a, p - row_number() OVER (PARTITION BY r, item_id, p - a ORDER BY p) AS k FROM pairs),
+matches AS (
+  SELECT r, min(p) - 1 AS at, count(*) + n - 1 AS words, item_id FROM runs GROUP BY r, item_id, p - a, k, n),
+longest AS (
+  SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, at, item_id) = 1),
 covered AS (
   SELECT r, count(DISTINCT k) AS n_hit
   FROM (SELECT r, unnest(range(p, p + n)) AS k FROM (SELECT DISTINCT r, p, n FROM hits)) GROUP BY r),
@@ -80,8 +93,9 @@ met AS (
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_items, 0) >= 2 AS contaminated
-FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
+  coalesce(n_items, 0) >= 2 AS contaminated, CAST(coalesce(words, 0) AS BIGINT) AS longest_match,
+  CAST(coalesce(at, -1) AS BIGINT) AS longest_at, CAST(item_id AS BIGINT) AS longest_item
+FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN met USING (r) LEFT JOIN longest USING (r)
 """
 
 

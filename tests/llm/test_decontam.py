@@ -73,7 +73,15 @@ def test_longest_match_is_located(spark):
     df = spark.createDataFrame([(1, "q q a b c d e f g h i j k q")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "z a b c d e f g h i j k y")], "item_id long, text string")
     row = decontam.report(df, bench).first()
-    assert (row.longest_match, row.longest_at, row.n_hit) == (11, 2, 11)
+    assert (row.longest_match, row.longest_at, row.longest_item, row.n_hit) == (11, 2, 1, 11)
+
+
+def test_ties_of_the_longest_match(spark):
+    nine, eight = "a b c d e f g h i", "r s t u v w x y"
+    df = spark.createDataFrame([(1, f"{eight} q {nine} q {nine}"), (2, "q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, nine), (3, f"{nine} z"), (1, eight)], "item_id long, text string")
+    got = {r.doc_id: (r.longest_match, r.longest_at, r.longest_item) for r in decontam.report(df, bench).collect()}
+    assert got == {1: (9, 9, 3), 2: (0, -1, None)}
 
 
 def test_empty_tables(spark):

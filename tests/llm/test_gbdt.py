@@ -96,3 +96,11 @@ def test_repetition_is_that_of_the_whole_text():
         assert np.allclose(gbdt.statistics(" ".join(words))[at : at + 4], repetition(words), rtol=1e-12)
     a, b = (gbdt.statistics(" ".join(w)) for w in (long[:-1], long))
     assert np.allclose(a, b, rtol=0.01)
+
+
+def test_a_repeated_id_is_bounded(spark):
+    """An id of many documents brings back no more rows than ``rows``; the fit does not depend on their order."""
+    docs = spark.createDataFrame([(1, f"text {i % 50} " * (1 + i % 7)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
+    a, b = gbdt.fit(docs, labels, rows=60), gbdt.fit(docs.repartition(5), labels, rows=60)
+    assert a.start == b.start and np.array_equal(a.value, b.value)

@@ -38,14 +38,38 @@ def test_held_out_accuracy(spark):
     assert right >= 0.98 * len(fresh)
 
 
-def test_grams_of_chunks_are_those_of_the_whole(monkeypatch):
+@pytest.mark.parametrize("size", [1, 2, 3, 97, 100])
+def test_grams_of_chunks_are_those_of_the_whole(monkeypatch, size):
     text = sentence(random.Random(3), "bb", 400)
     whole = np.sort(np.concatenate(list(langid.grams(text))))
-    monkeypatch.setattr(langid, "CHUNK", 100)
-    parts = np.concatenate(list(langid.grams(text)))
-    # A chunk reaches three bytes into the next: its short n-grams there count twice, no more.
-    assert len(whole) <= len(parts) <= len(whole) * 1.1
-    assert set(whole) == set(parts)
+    monkeypatch.setattr(langid, "CHUNK", size)
+    assert np.array_equal(np.sort(np.concatenate(list(langid.grams(text)))), whole)
+
+
+def test_letters_are_those_of_unicode():
+    assert all(langid.has_letter(t) for t in ("1 é", "ʰ", "ª", "字"))
+    assert not any(langid.has_letter(t) for t in (None, "", "² ½ ③ Ⅷ _ 12 ! ̈"))
+
+
+def test_many_languages_have_codes_apart():
+    code = langid.codewords(300)
+    assert min((code[i] != code[j]).sum() for i in range(300) for j in range(i)) >= code.shape[1] // 5
+
+
+def test_names_that_clash_are_refused(spark):
+    df = spark.createDataFrame(rows(1, 1), SCHEMA)
+    model = langid.fit(df, F.lit(None).cast("boolean"))
+    assert model.languages == []
+    with pytest.raises(ValueError):
+        langid.predict(df, model, ("LANG_pred", "a", "b"))
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    model = langid.fit(spark.createDataFrame(rows(1, 30), SCHEMA), F.lit(True))
+    rnd = random.Random(5)
+    text = sentence(rnd, "aa", 200) + " " + sentence(rnd, "dd", 60_000)
+    df = spark.createDataFrame([(1, text, None, None, None)], SCHEMA)
+    assert langid.predict(df, model, NAMES).first()._p == "dd"
 
 
 def test_odd_rows(spark):
