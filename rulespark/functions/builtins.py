@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,7 +57,7 @@ def result_type(op: str, kinds: list, functions: dict[str, Function] | None = No
         return "long"
     if "term" in kinds:
         return "term"
-    if op == "+" and kinds == ["str", "str"]:
+    if op == "+" and kinds == ["str", "str"] or op == "*" and sorted(map(str, kinds)) == ["long", "str"]:
         return "str"
     if all(k in ty.NUMERIC for k in kinds):
         if op == "**" and kinds == ["long", "long"]:
@@ -69,8 +70,28 @@ def _fails(when: Column, message: str) -> Column:
     return F.when(when, F.lit(message))
 
 
+#: Characters of a repeated string, at most.
+LONGEST = 1 << 28
+OVERFLOW = "OverflowError: the result is no 64-bit integer"
+
+
+def overflow(op: str, c: list[Column], kinds: list, out: Column) -> Column | None:
+    """Where integer arithmetic left the 64 bits, whose result ``out`` is null then; None if it cannot."""
+    if op in ("+", "-", "*", "abs") and all(k == "long" for k in kinds):
+        return reduce(lambda x, y: x & y, (x.isNotNull() for x in c), out.isNull())
+    return None
+
+
 def _exact_power(a: Column, n: Column) -> Column:
-    return F.aggregate(F.array_repeat(a, n.cast("int")), F.lit(1).cast("long"), lambda x, y: x * y)
+    """By squaring, one step for each bit of ``n``; null where it leaves the 64 bits."""
+
+    def step(held: Column, bit: Column) -> Column:
+        odd = F.call_function("getbit", n, bit) == 1
+        power = F.when(odd, F.try_multiply(held["power"], held["square"])).otherwise(held["power"])
+        return F.struct(power.alias("power"), F.try_multiply(held["square"], held["square"]).alias("square"))
+
+    start = F.struct(F.lit(1).cast("long").alias("power"), a.cast("long").alias("square"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step)["power"]
 
 
 def _floor_mod(a: Column, b: Column, kind: str) -> Column:
@@ -87,7 +108,10 @@ def through_python(op: str, args: list[tuple[Column, object]], to, run: Callable
 
     def guarded(*values):
         try:
-            return ("", ty.to_spark(f(*values), to))
+            out = f(*values)
+            if to == "long" and isinstance(out, int) and not -(1 << 63) <= out < 1 << 63:
+                return (OVERFLOW, None)
+            return ("", ty.to_spark(out, to))
         except vals.EvaluationError as e:
             return (vals.error_text(e), None)
         except RecursionError:
@@ -180,6 +204,11 @@ def apply(op: str, args: list[tuple[Column, object]], functions: dict[str, Funct
         return through_python(op, args, result_type(op, kinds))
     if op == "+" and kinds == ["str", "str"]:
         return F.concat(c[0], c[1]), "str", None
+    if op == "*" and sorted(map(str, kinds)) == ["long", "str"]:
+        text, n = (c[0], c[1]) if kinds[0] == "str" else (c[1], c[0])
+        fits = (n <= 0) | (F.length(text) == 0) | (n <= F.lit(LONGEST) / F.length(text))
+        times = F.greatest(F.least(n, F.lit(LONGEST)), F.lit(0)).cast("int")
+        return F.when(fits, F.repeat(text, times)), "str", _fails(~fits, "OverflowError: a repeated string is too long")
     if not all(k in ty.NUMERIC for k in kinds):
         raise TypeMismatch(f"TypeError: unsupported operand type(s) for {op}: {' and '.join(map(str, kinds))}")
     return _numeric(op, c, kinds)
@@ -206,11 +235,13 @@ def _cast(op: str, c: Column, kind, args):
 def _numeric(op: str, c: list[Column], kinds: list):
     kind = "double" if "double" in kinds else "long"
     if op in ("+", "*", "-") and len(c) == 2:
+        if kind == "long":
+            return {"+": F.try_add, "*": F.try_multiply, "-": F.try_subtract}[op](c[0], c[1]), kind, None
         return {"+": c[0] + c[1], "*": c[0] * c[1], "-": c[0] - c[1]}[op], kind, None
     if op == "-":
-        return -c[0], kind, None
+        return (F.try_subtract(F.lit(0).cast("long"), c[0]) if kind == "long" else -c[0]), kind, None
     if op == "abs":
-        return F.abs(c[0]), kind, None
+        return (F.when(c[0] >= 0, c[0]).otherwise(F.try_subtract(F.lit(0).cast("long"), c[0])) if kind == "long" else F.abs(c[0])), kind, None
     if op == "/":
         zero = c[1] == 0
         return F.try_divide(c[0].cast("double"), c[1].cast("double")), "double", _fails(zero, "ZeroDivisionError: division by zero")
@@ -220,7 +251,9 @@ def _numeric(op: str, c: list[Column], kinds: list):
         return _floor_mod(c[0], safe, kind), kind, zero
     if op == "**":
         if kind == "long":
-            return F.when(c[1] >= 0, _exact_power(c[0], F.greatest(c[1], F.lit(0)))), "long", _fails(c[1] < 0, "ValueError: negative exponent of an integer")
+            out = F.when(c[1] >= 0, _exact_power(c[0], F.greatest(c[1], F.lit(0))))
+            wrong = F.when(c[1] < 0, F.lit("ValueError: negative exponent of an integer"))
+            return out, "long", wrong.when(c[0].isNotNull() & c[1].isNotNull() & out.isNull(), F.lit(OVERFLOW))
         wrong = (c[0] < 0) & (c[1] != F.floor(c[1])) | (c[0] == 0) & (c[1] < 0)
         return F.when(~wrong, F.pow(c[0], c[1])), "double", _fails(wrong, "ValueError: math domain error")
     if op == "^":

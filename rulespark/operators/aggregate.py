@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rulespark.functions import types as ty
 from rulespark.functions import values as vals
+from rulespark.functions.builtins import OVERFLOW
 
 IDEMPOTENT = {"min=", "max=", "|=", "&=", ":-", "set="}
 
@@ -66,8 +67,11 @@ def fold(frame: DataFrame, columns: list[str], t, key, aggregator: str, nullable
             aggs["best"] = pick(F.struct(v.alias("v"), F.col("key").alias("k")))
             value, keyed = F.col("best.v"), F.col("best.k")
     elif aggregator == "+=" and t in ty.NUMERIC:
-        aggs["total"] = F.sum(v)
+        aggs["total"] = F.try_sum(v) if t == "long" else F.sum(v)
         value = F.col("total")
+        if t == "long":
+            aggs["some"] = F.max(v.isNotNull())
+            failing = F.when(F.col("total").isNull() & F.col("some"), F.lit(f"{OVERFLOW} of `+=`"))
     elif aggregator == "+=" and t == "str":
         aggs["all"] = F.array_sort(F.collect_list(v))  # the order of strings is fixed, for one result
         value = F.array_join("all", "")
@@ -79,8 +83,9 @@ def fold(frame: DataFrame, columns: list[str], t, key, aggregator: str, nullable
         aggs["big"] = F.collect_list(F.when(F.abs(v) > 1, F.abs(v)))
         aggs["minus"] = F.count(F.when(v < 0, 1))
         aggs["zero"] = F.count(F.when(v == 0, 1))
-        product = F.aggregate("big", F.lit(1).cast("long"), lambda a, x: a * x)
+        product = F.aggregate("big", F.lit(1).cast("long"), F.try_multiply)
         value = F.when(F.col("zero") > 0, F.lit(0).cast("long")).otherwise(F.when(F.col("minus") % 2 == 1, -product).otherwise(product))
+        failing = F.when((F.col("zero") == 0) & product.isNull(), F.lit(f"{OVERFLOW} of `*=`"))
     elif aggregator == "mean=" and t in ty.NUMERIC:
         aggs["mean"] = F.avg(v)
         value = F.col("mean")

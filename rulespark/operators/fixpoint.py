@@ -206,7 +206,7 @@ class Evaluation:
         for n in sorted(names & set(self.relations)):
             relation = self.relations[n]
             if not relation.settled and not (n in self.program.sources and self.program.sources[n].direct):
-                relation.frame = state.hold(self._typed(n, relation.frame), len(relation.shape.args)).frame
+                relation.frame = state.settled(self._typed(n, relation.frame), len(relation.shape.args)).frame
                 relation.settled = True
 
     def single(self, name: str) -> None:
@@ -342,6 +342,10 @@ class Evaluation:
                 return state.from_rows(self.spark, rows, width, self.schema(name))
             items = got.frame
         columns = [f"a{i}" for i in range(width)]
+        if aggregator == ":-" and columns:
+            known = full.frame.select(*(F.col(c).alias(f"o_{c}") for c in columns))
+            fresh = items.join(known, [items[c] == known[f"o_{c}"] for c in columns], "left_anti")
+            return state.hold(fresh, width, large=full.rows is None)
         old = full.frame.select(*(F.col(c).alias(f"o_{c}") for c in full.frame.columns), F.lit(True).alias("o_there"))
         if columns:
             both = items.join(old, [items[c] == old[f"o_{c}"] for c in columns], "left")
@@ -361,7 +365,7 @@ class Evaluation:
                 return state.from_rows(self.spark, rows, width, self.schema(name))
         columns = [f"a{i}" for i in range(width)]
         if self.program.aggregators[name] == ":-":
-            return state.written(full.frame.unionByName(fresh.frame), width)
+            return state.extended(full, fresh)
         marked = full.frame.withColumn("rule", F.lit(0)).unionByName(fresh.frame.withColumn("rule", F.lit(0)))
         shape = self.program.shapes[name]
         items, _ = aggregate.fold(marked, columns, shape.value, shape.key, self.program.aggregators[name], False)

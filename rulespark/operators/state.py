@@ -15,27 +15,55 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a round keeps on the driver; more are written to the shared checkpoint folder.
 SMALL = 2000
+#: Tables that a relation which only grows is kept in, before they become one.
+TABLES = 64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Unset, it is a temporary one in local mode; on a
+    cluster, where executors could not read what others write there, it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rulespark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder, which outlives executors but not this process."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rulespark/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def store(frame: DataFrame) -> str:
+    """Writes a frame to the shared folder; its path."""
+    path = scratch(frame.sparkSession, "relation")
+    frame.write.parquet(path)
+    return path
+
+
 def written(frame: DataFrame, width: int) -> "Held":
     """Written once and read back: lineage ends here, and survives the loss of executors."""
-    spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rulespark/relation-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return Held(spark.read.schema(frame.schema).parquet(path), width, None, path)
+    path = store(frame)
+    return Held(frame.sparkSession.read.schema(frame.schema).parquet(path), width, None, (path,))
+
+
+def extended(held: "Held", more: "Held") -> "Held":
+    """Both relations' rows, of which the written ones are not written again. Many tables become one."""
+    if more.rows is not None:
+        more = written(more.frame, more.width)
+    if held.rows is not None:
+        held = written(held.frame, held.width)
+    paths, spark = (*held.paths, *more.paths), held.frame.sparkSession
+    frame = spark.read.schema(held.frame.schema).parquet(*paths)
+    return Held(frame, held.width, None, paths) if len(paths) <= TABLES else written(frame, held.width)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -48,10 +76,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def retire(old: list["Held"], live: list["Held"]) -> None:
     """Deletes the tables of earlier rounds that nothing reads any more."""
-    kept = {h.path for h in live}
+    kept = {p for h in live for p in h.paths}
     for h in old:
-        if h.path and h.path not in kept:
-            _remove(h.frame.sparkSession, h.path)
+        for path in h.paths:
+            if path not in kept:
+                _remove(h.frame.sparkSession, path)
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -79,7 +108,7 @@ class Held:
     width: int
     rows: dict | None
     #: Where it is written, if it is.
-    path: str | None = None
+    paths: tuple[str, ...] = ()
 
     def size_known_empty(self) -> bool:
         return self.rows is not None and not self.rows
@@ -99,6 +128,16 @@ def hold(frame: DataFrame, width: int, large: bool = False) -> Held:
     return written(frame, width)
 
 
+def settled(frame: DataFrame, width: int) -> Held:
+    """Like ``hold`` for a frame of unknown cost: it is computed once, written, and read if small."""
+    held = written(frame, width)
+    rows = held.frame.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return held
+    retire([held], [])
+    return from_rows(frame.sparkSession, {_plain(tuple(r)[:width]): _plain(tuple(r)[width:]) for r in rows}, width, frame.schema)
+
+
 def from_rows(spark: SparkSession, rows: dict, width: int, schema: T.StructType) -> Held:
     return Held(local(spark, [(*k, *v) for k, v in rows.items()], schema), width, rows)
 

@@ -50,6 +50,8 @@ class Builder:
         self.env: dict[str, tuple[str, object]] = {}
         self.count = 0
         self.fallible = False
+        #: Where integer arithmetic has overflowed, so that a value is null; taken out at the end.
+        self.soft: list[Column] = []
         self.inlining: set[str] = set()
         self.weights: dict[str, int] = {}
         self.bands: dict[tuple[str, str], float] = {}
@@ -101,6 +103,25 @@ class Builder:
         self.frame = self.started().withColumn("failure", F.coalesce(old, error))
         self.fallible = True
 
+    def apply(self, op: str, args: list[tuple[Column, object]]) -> tuple[Column, object, Column | None]:
+        column, t, error = builtins.apply(op, args, self.functions, seed=self.count)
+        left = None if op in self.functions else builtins.overflow(op, [c for c, _ in args], [k for _, k in args], column)
+        if left is not None:
+            self.soft.append(left)
+        return column, t, error
+
+    def sound(self) -> DataFrame:
+        """The rows so far whose grounding has not failed."""
+        frame = self.started().where("failure is null") if self.fallible else self.started()
+        return frame.where(~reduce(lambda a, b: a | b, self.soft)) if self.soft else frame
+
+    def failed(self) -> DataFrame | None:
+        """``failure`` of the groundings that have; None if none can."""
+        texts = [F.col("failure")] * self.fallible
+        if self.soft:
+            texts.append(F.when(reduce(lambda a, b: a | b, self.soft), F.lit(builtins.OVERFLOW)))
+        return self.started().select(F.coalesce(*texts).alias("failure")).where("failure is not null") if texts else None
+
     # --- steps
 
     def run(self, plan: Plan, first: DataFrame | None = None) -> "Builder":
@@ -206,7 +227,7 @@ class Builder:
                 return None
             if any(s.kind in ("let", "check") and f"{s.literal.op}/{len(s.literal.args)}" in self.goals.plans and s.literal.op == name for s in p.steps):
                 return None
-        alternatives, failures = [], []
+        alternatives, failures, soft = [], [], []
         for p in sorted(plans, key=lambda p: p.rule.rule.index):
             inner = _Inline(self, {*self.inlining, name})
             try:
@@ -215,8 +236,10 @@ class Builder:
                 return None
             alternatives.append(found)
             failures += inner.failures
+            soft += [inner.condition & x for x in inner.soft]
             self.frame, self.count = inner.frame, inner.count
         error = F.coalesce(*failures) if failures else None
+        self.soft += soft
         values = [F.when(c, v) for c, v in alternatives]
         if not values:
             return None
@@ -264,7 +287,7 @@ class Builder:
                 raise Failed(f"NameError: no function {vals.render(x.args[0].value) if isinstance(x.args[0], Const) else '?'} is registered")
             op, args = x.args[0].value, args[1:]
         try:
-            column, t, error = builtins.apply(op, args, functions, seed=self.count)
+            column, t, error = self.apply(op, args)
         except builtins.TypeMismatch as e:
             raise Failed(str(e)) from None
         self.note(error)
@@ -287,11 +310,11 @@ class Builder:
         out, other = self.get(x.out), self.get(x.args[1 - step.place])
         try:
             if x.op == "+":
-                column, t, _ = builtins.apply("-", [out, other])
+                column, t, _ = self.apply("-", [out, other])
             elif step.place == 0:
-                column, t, _ = builtins.apply("+", [out, other])
+                column, t, _ = self.apply("+", [out, other])
             else:
-                column, t, _ = builtins.apply("-", [other, out])
+                column, t, _ = self.apply("-", [other, out])
         except builtins.TypeMismatch as e:
             raise Failed(str(e)) from None
         self.set(step.target, column, t, lazy=t != "term" and self.light(step.target, (x.out, *x.args)))
@@ -408,11 +431,10 @@ class Builder:
             else:
                 out.append(ty.coerce(*self.get(rule.key), shape.key).alias("key"))
         out.append(F.lit(rule.rule.index).alias("rule"))
-        frame = self.started()
-        if not self.fallible:
-            return frame.select(*out), None
-        failed = frame.where("failure is not null").select(F.lit(rule.rule.index).alias("rule"), F.col("failure").alias("message"))
-        return frame.where("failure is null").select(*out), failed
+        failed = self.failed()
+        if failed is not None:
+            failed = failed.select(F.lit(rule.rule.index).alias("rule"), F.col("failure").alias("message"))
+        return self.sound().select(*out), failed
 
 
 class _NotInline(Exception):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulespark.functions import types as ty
-from rulespark.functions.builtins import Function
+from rulespark.functions import values as vals
+from rulespark.functions.builtins import Function, _equal
 from rulespark.functions.evaluator import Goals
 from rulespark.lang.ast import AggregatorConflict, App, Const, PlanError, Pragma, Rule, RuleError, Var
 from rulespark.lang.normal import NormalRule, normalize
@@ -146,7 +147,8 @@ class Program:
         self.backchained: set[str] = set()
         self.functions: dict[str, Function] = {}
         self.sources: dict[str, Source] = {}
-        self.pragmas: list[str] = []
+        #: (rule's number, None for a pragma; text) in the order in which they came.
+        self.statements: list[tuple[int | None, str]] = []
         self.compiled = Compiled(self)
         self.dirty: set[str] = set()
         self.evaluation = Evaluation(self.compiled)
@@ -191,6 +193,7 @@ class Program:
                 else:
                     s.index = self.next_index
                     self.rules[s.index] = s
+                    self.statements.append((s.index, s.text))
                     self.next_index += 1
 
         fresh = {f"{s.head.fn}/{len(s.head.args)}" for s in statements if isinstance(s, Rule)}
@@ -203,7 +206,7 @@ class Program:
         return changes
 
     def _pragma(self, s: Pragma) -> None:
-        self.pragmas.append(s.text)
+        self.statements.append((None, s.text))
         if s.name == "backchain":
             self.backchained.add(f"{s.args[0][0]}/{s.args[0][1]}")
         elif s.name == "iaggr":
@@ -275,11 +278,13 @@ class Program:
         return solution(self)
 
     def insert(self, name: str, frame: DataFrame) -> Changes:
-        """More rows for a bound relation, of its columns."""
+        """More rows for a bound relation, of its columns.
+
+        They are written to the shared folder, and batches of like size are merged, so that the
+        plan stays the bound frame and one table however often rows come. A relation read before
+        keeps the rows it had."""
         full = name if "/" in name else next(n for n in self.sources if n.split("/")[0] == name)
-        old = self.sources[full]
-        columns = [c for c in (*old.keys, old.value, old.key) if c is not None]
-        merged = Source(old.frame.select(columns).unionByName(frame.select(columns)), old.keys, old.value, old.direct, old.key)
+        merged = self.sources[full].grown(frame)
 
         def change() -> None:
             self.sources[full] = merged
@@ -345,6 +350,28 @@ class Program:
         n = len(shape.args)
         return {tuple(map(ty.to_python, tuple(r)[:n], shape.args)): ty.to_python(r[n], shape.value) for r in frame.collect()}
 
+    def few_items(self, name: str, most: int) -> dict[str, object] | None:
+        """Encoded arguments -> value, if there are at most ``most`` items; else None."""
+        full = self._full(name)
+        rows = self.relation(full).limit(most + 1).collect()
+        if len(rows) > most:
+            return None
+        shape = self.compiled.shapes.get(full) or Shape([])
+        n = len(shape.args)
+        return {vals.encode(tuple(map(ty.to_python, tuple(r)[:n], shape.args))): ty.to_python(r[n], shape.value) for r in rows}
+
+    def item(self, name: str, args: tuple):
+        """The value of one item, by a filter on its arguments; None if there is none."""
+        full = self._full(name)
+        frame, shape = self.relation(full), self.compiled.shapes.get(full)
+        if shape is None:
+            return None
+        for i, (v, t) in enumerate(zip(args, shape.args, strict=True)):
+            own = ty.of_value(v)
+            frame = frame.where(_equal(F.col(f"a{i}"), t, ty.literal(v, own), own))
+        row = frame.select("value").first()
+        return None if row is None else ty.to_python(row[0], shape.value)
+
     def value(self, name: str):
         """The value of an item without arguments; None if there is none."""
         return self.items(f"{name}/0").get(())
@@ -399,9 +426,7 @@ class Program:
         if kinds is None:
             return self.spark.createDataFrame([], ", ".join([*(f"`{v}` string" for v in p.rule.variables), "value string"]))
         builder = Builder(self.spark, self.evaluation.relations, self.compiled.inference, self.compiled.goals, self.functions).run(p)
-        frame = builder.started()
-        if builder.fallible:
-            frame = frame.where("failure is null")
+        frame = builder.sound()
         out = [builder.get(Var(v))[0].alias(v) for v in p.rule.variables if v in builder.env]
         return frame.select(*out, builder.get(p.rule.value)[0].alias("value")).distinct()
 
@@ -443,32 +468,45 @@ class Program:
     # --- saving
 
     def source_text(self) -> str:
-        return "\n".join([*self.pragmas, *(r.text for r in self.rules.values())])
+        """Pragmas and the rules that remain, in the order in which they came."""
+        return "\n".join(t for i, t in self.statements if i is None or i in self.rules)
 
     def save(self, path: str) -> None:
-        """The program's text and bound data, in a folder of any store that Spark writes to."""
+        """The program's text and bound data, in a folder of any store that Spark writes to.
+
+        Registered functions are Python objects and are not saved: register them before the
+        restored program is read."""
         bound = {}
         for i, (name, s) in enumerate(sorted(self.sources.items())):
             s.frame.select([c for c in (*s.keys, s.value, s.key) if c is not None]).write.mode("overwrite").parquet(f"{path}/source-{i}")
-            bound[name] = {"at": f"source-{i}", "keys": s.keys, "value": s.value, "key": s.key, "direct": s.direct}
-        data = {"rules": [[r.index, r.text] for r in self.rules.values()], "pragmas": self.pragmas, "aggregators": self.aggregators, "sources": bound, "next": self.next_index}
+            bound[name] = {"at": f"source-{i}", "keys": s.keys, "value": s.value, "key": s.key, "direct": s.direct, "encoded": s.encoded}
+        kept = [[i, t] for i, t in self.statements if i is None or i in self.rules]
+        data = {"statements": kept, "aggregators": self.aggregators, "sources": bound, "next": self.next_index, "functions": {n: f.returns for n, f in self.functions.items()}}
         self.spark.createDataFrame([(json.dumps(data),)], "program string").coalesce(1).write.mode("overwrite").text(f"{path}/program")
 
     @classmethod
-    def restore(cls, spark: SparkSession, path: str) -> "Program":
+    def restore(cls, spark: SparkSession, path: str, functions: dict[str, Callable] | None = None) -> "Program":
+        """``functions``: those that the saved program had registered, by name."""
         data = json.loads(spark.read.text(f"{path}/program").first()[0])
         out = cls(spark)
-        for name, s in data["sources"].items():
-            out.bind(name.rsplit("/", 1)[0], spark.read.parquet(f"{path}/{s['at']}"), s["keys"], s["value"], s["key"], unique=s["direct"])
+        for name, returns in data["functions"].items():
+            if functions and name in functions:
+                out.register(name, functions[name], tuple(returns) if isinstance(returns, list) else returns)
+        for full, s in data["sources"].items():
+            name = full.rsplit("/", 1)[0]
+            frame = spark.read.parquet(f"{path}/{s['at']}")
+            if s["encoded"]:
+                out.bind_terms(name, frame, s["keys"], s["value"])
+            else:
+                out.bind(name, frame, s["keys"], s["value"], s["key"], unique=s["direct"])
         out.aggregators.update(data["aggregators"])
-        # Rules keep their numbers, which := goes by.
-        text = "\n".join([*data["pragmas"], *(t for _, t in data["rules"])])
-        out.add(text)
-        numbers = [i for i, _ in data["rules"]]
-        renumbered = dict(zip(numbers, out.rules.values(), strict=True))
+        # In their order, as pragmas hold from their place on; rules keep their numbers, which := goes by.
+        out.add("\n".join(t for _, t in data["statements"]))
+        renumbered = dict(zip((i for i, _ in data["statements"] if i is not None), out.rules.values(), strict=True))
         for i, rule in renumbered.items():
             rule.index = i
         out.rules, out.next_index = renumbered, data["next"]
+        out.statements = [tuple(x) for x in data["statements"]]
         out.compiled = Compiled(out)
         return out
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.functions import types as ty
+from rulespark.operators import state
 from rulespark.plans.relation import Shape
 
 
+MERGED = 16
+
+
 @dataclass
 class Source:
     """``keys`` and ``value`` name columns. ``direct``: the rows are the items as they stand - the
@@ -25,6 +29,25 @@ class Source:
     key: str | None = None
     #: The value column holds encoded terms.
     encoded: bool = False
+    #: The frame first bound, and the written tables of rows inserted since, each with its level:
+    #: ``MERGED`` tables of a level become one of the next.
+    first: DataFrame | None = None
+    batches: tuple[tuple[int, str], ...] = ()
+
+    def grown(self, frame: DataFrame) -> "Source":
+        """This source with the rows of ``frame`` too, which are written once."""
+        columns = [c for c in (*self.keys, self.value, self.key) if c is not None]
+        first = self.frame.select(columns) if self.first is None else self.first
+        # As a union with the first frame would have it: its names, the wider types.
+        wanted = first.unionByName(frame.select(columns)).schema
+        own = frame.select(*(F.col(f.name).cast(f.dataType) for f in wanted))
+        spark = frame.sparkSession
+        batches = [*self.batches, (0, state.store(own))]
+        while len(last := [b for b in batches if b[0] == batches[-1][0]]) == MERGED:
+            level = batches[-1][0]
+            batches = batches[: -len(last)] + [(level + 1, state.store(spark.read.schema(wanted).parquet(*(p for _, p in last))))]
+        written = spark.read.schema(wanted).parquet(*(p for _, p in batches))
+        return replace(self, frame=first.unionByName(written), first=first, batches=tuple(batches))
 
     def shape(self) -> Shape:
         kinds = {f.name: ty.of_spark(f.dataType) for f in self.frame.schema}

@@ -22,42 +22,61 @@ def test_shortest_path(spark):
     assert p.evaluation.rounds["path/1"] < 6 and p.evaluation.converged
 
 
-def test_shortest_path_with_back_pointers(spark):
+def test_best_choice_is_followed_by_its_key(spark):
+    """The tallest tower of narrowing blocks: the key of each block's best height is the block below."""
     p = Program(spark, """
-        dist(from) min= 0 with_key [].  dist(Y) min= dist(X) + road(X,Y) with_key X.
-        way(Y) := [Y | way($key(dist(Y)))].  way(from) := [from].  route = turned(way(to)).
-        :- backchain turned/1.  turned([]) = [].  turned([H|T]) = joined(turned(T), [H]).
-        :- backchain joined/2.  joined([], L) = L.  joined([H|T], L) = [H|joined(T, L)].
-        road(1,2) := 4.  road(2,3) := 4.  road(3,9) := 4.  road(1,5) := 5.  road(5,9) := 5.
-        from := 1.  to := 9.""")
-    assert p.keys("dist")[(9,)] == 5 and p.keys("dist")[(1,)] == ()
-    assert p.value("route") == (1, 5, 9) and p.items("way")[(3,)] == (3, 2, 1)
+        tall(B) max= H with_key "floor" for block(B,_,H).
+        tall(B) max= tall(A) + H with_key A for block(A,V,_), block(B,W,H), W < V.
+        top max= tall(B) with_key B.
+        level(0,B) := true for B is $key(top).
+        level(N+1,A) := true for level(N,B), A is $key(tall(B)), A != "floor".
+        block("slab",9,1).  block("cube",5,5).  block("rod",2,8).  block("plate",7,2).  block("post",2,9).""")
+    assert p.value("top") == 17 and p.keys("tall")[("rod",)] == "cube" and p.keys("tall")[("slab",)] == "floor"
+    assert set(p.items("level")) == {(0, "post"), (1, "cube"), (2, "plate"), (3, "slab")}
 
 
-def test_parsing_with_trees(spark):
+def test_lists_taken_apart_and_put_together(spark):
     p = Program(spark, """
-        span(W,I,I+1,W) max= token(W,I), 1.
-        span(A,I,K,&node(A,T)) max= span(B,I,K,T) * unary(A,B).
-        span(A,I,K,&node(A,T,U)) max= span(B,I,J,T) * span(C,J,K,U) * binary(A,B,C).
-        last max= token(_,I), I + 1.  winner max= pair(span("S",0,last,T), T).  tree max= T for pair(_,T) is winner.
-        binary("S","N","V") += 1.  unary("N","she") += 1.  unary("V","runs") += 1.
-        token("she",0) := true.  token("runs",1) := true.""")
-    assert p.value("tree") == Term("node", ("S", Term("node", ("N", "she")), Term("node", ("V", "runs"))))
-    assert len(p.items("span")) == 5
+        :- backchain weave/2.  weave([], L) = L.  weave([H|T], L) = [H|weave(L, T)].
+        :- backchain total/1.  total([]) = 0.  total([H|T]) = H + total(T).
+        woven = weave([1,3,5,7], ["a","b"]).  long(N) := total(range(N)) for N in [10,400,3000].""")
+    assert p.value("woven") == (1, "a", 3, "b", 5, 7)
+    assert p.items("long") == {(n,): n * (n - 1) // 2 for n in (10, 400, 3000)}  # one goal within another for each element
 
 
-def test_matrices_by_name(spark):
+def test_terms_grow_along_a_hierarchy(spark):
     p = Program(spark, """
-        cell(R,I,K) += R is into(P,Q), cell(P,I,J) * cell(Q,J,K).
-        height(M) max= _ is cell(M,I,_), I.
-        :- dispos cell(&,*,*).  :- dispos into(&,&).
-        cell(a,1,1) += 1.  cell(a,1,2) += 2.  cell(b,1,1) += 3.  cell(b,2,1) += 4.  into(a,b) := &c.""")
-    assert p.items("cell")[c, 1, 1] == 11 and p.items("height") == {(a,): 1, (b,): 2, (c,): 1}
+        part("bike","wheel").  part("bike","frame").  part("wheel","rim").  part("wheel","spoke").
+        whole(X) :- part(X,_).  thing(X) :- part(X,_).  thing(X) :- part(_,X).
+        built(X) = &made(X, inside(X)) for whole(X).
+        built(X) = &single(X) for thing(X), X != "bike", X != "wheel".
+        inside(X) set= built(Y) for part(X,Y).""")
+    single = lambda x: Term("single", (x,))
+    wheel = Term("made", ("wheel", (single("rim"), single("spoke"))))
+    assert p.items("built")[("wheel",)] == wheel
+    assert set(p.items("inside")[("bike",)]) == {wheel, single("frame")} and p.items("built")[("frame",)] == single("frame")
+
+
+def test_quoted_arguments(spark):
+    """Dispositions: names of units are quoted, so that `m` is itself and not the item m."""
+    p = Program(spark, """
+        :- dispos rate(&,&).  :- dispos kind(&).
+        m := 7.
+        rate(km,m) := 1000.  rate(m,mm) := 1000.  rate(h,s) := 3600.
+        kind(m) := "length".  kind(s) := "time".
+        through(A,C) := rate(A,B) * rate(B,C).  known(K) set= B for _ is rate(_,B), K is kind(B).""")
+    km, m, mm = Term("km"), Term("m"), Term("mm")
+    assert p.items("through") == {(km, mm): 1_000_000}
+    assert p.items("known") == {("length",): (m,), ("time",): (Term("s"),)} and p.value("m") == 7
 
 
-def test_equalities(spark):
-    got = items(spark, "m += 4.  n += 4.  r := m == m.  s := m == n.  t := m = m.  u := m = n.  v := 4 is m.  w := m is n.", *"rstuvw")
-    assert [x.get(()) for x in got] == [True, True, True, False, True, None]
+def test_equality_as_a_value_and_as_a_binding(spark):
+    p = Program(spark, """
+        left(1) := "x".  left(2) := "y".  left(3) := 4.  right(1) := "x".  right(2) := "z".  right(3) := 4.0.
+        same(K) := left(K) == right(K).  unified(K) := X = Y for X is left(K), Y is right(K).
+        taken(K,V) := true for V is left(K), V == right(K).  told(K) := "yes" for "x" is left(K).""")
+    assert p.items("same") == {(1,): True, (2,): False, (3,): True} and p.items("unified") == {(1,): True, (3,): True}
+    assert set(p.items("taken")) == {(1, "x"), (3, 4)} and p.items("told") == {(1,): "yes"}
 
 
 def test_backchained_factorial_and_bounded_recursion(spark):
@@ -110,32 +129,41 @@ def test_one_failing_grounding_does_not_stop_the_others(spark):
     assert p.items("out") == {(2,): 0.5} and p.errors().count() == 1
 
 
-def test_patterns(spark):
+def test_patterns_of_terms(spark):
+    p = Program(spark, """
+        diagonal(X) := true for &at(X,X) in [&at(1,1), &at(1,2), 5, &on(3,3), &at("q","q")].
+        wrapped(X) set= K for K in range(3), &box(X) in [&box(K), &bag(K), &box("lid")].
+        priced("tea") = 3.  priced("salt") = &free.  priced("ink") = true.
+        of(X) := true for priced(X) in [&free, true, 4].""")
+    assert set(p.items("diagonal")) == {(1,), ("q",)} and set(p.items("of")) == {("salt",), ("ink",)}
+    assert p.items("wrapped") == {(0,): (0,), (1,): (1,), (2,): (2,), ("lid",): (0, 1, 2)}
+
+
+def test_patterns_of_lists(spark):
     p = Program(spark, """
-        twin(&N) := true for [N,N] in [7,[5,5],[5,6],[8,8]].
-        tagged(N) := true for &tag(N) in [4,&tag("u"),&other("v"),&tag("w")].
-        held([7,8]).  rest(T) := held([7|T]).
-        under(V) := K for (K -> V) in [10 -> "p", 20 -> "q"].
-        mark("whole") = 1.  mark("truth") = true.  mark("pair") = 2.
-        met(N) := true for mark(N) in [true,2,&mark("whole")].
-        sorted_up set= Y for Y in [9,8,8,[3,1],&g(2)].  has = 8 in sorted_up.  lacks = 4 in [5,6].  truth = true in [1,0].
-        split_up(A,B) := true for [A,B] in [split("x y")].
-        odd(X) := [X|[2]] for X in range(3), mod(X,2) == 1.""")
-    assert set(p.items("twin")) == {(5,), (8,)} and set(p.items("tagged")) == {("u",), ("w",)} and set(p.items("rest")) == {((8,),)}
-    assert p.items("under") == {("p",): 10, ("q",): 20} and set(p.items("met")) == {("truth",), ("pair",)}
-    assert p.value("sorted_up") == (8, 9, (3, 1), Term("g", (2,)))
-    assert p.value("has") is True and p.value("lacks") is False and p.value("truth") is False
-    assert set(p.items("split_up")) == {("x", "y")} and p.items("odd") == {(1,): (1, 2)}
-
-
-def test_association_lists(spark):
+        heads(H) += 1 for [H|_] in [[4,1],[4],[],[6,6,6],"no list"].
+        after(T) := true for [6|T] in [[6,6],[6],[4,6]].
+        stored([2,3]) := 1.  stored([2]) := 5.  stored([9,9]) := 7.  rest(T) += stored([2|T]).
+        code(V) := K for (K -> V) in ["one" -> 1, "two" -> 2].
+        first(A) := B for [A,B] in [split("red blue"), split("green"), split("grey black")].
+        pair(X) := [X|["end"]] for X in range(4), mod(X,2) == 0.
+        kept set= X for X in [4,[1],4,"s"].  inside(X) := X in kept for X in [4,"t",[1]].""")
+    assert p.items("heads") == {(4,): 2, (6,): 1} and set(p.items("after")) == {((6,),), ((),)}
+    assert p.items("rest") == {((3,),): 1, ((),): 5} and p.items("code") == {(1,): "one", (2,): "two"}
+    assert p.items("first") == {("red",): "blue", ("grey",): "black"} and p.items("pair") == {(0,): (0, "end"), (2,): (2, "end")}
+    assert p.items("inside") == {(4,): True, ("t",): False, ((1,),): True}
+
+
+def test_goals_over_pairs(spark):
+    """Run-length decoding: pairs in patterns, a count that runs down, a later rule that overrides."""
     p = Program(spark, """
-        stock = ["pen" -> 4, "ink" -> 9, "ink" -> 2].
-        :- backchain every/2.  every(_,[]) := [].  every(N,[_|R]) := every(N,R).  every(N,[(N -> V)|R]) := [V|every(N,R)].
-        :- backchain first/2.  first(_,[]) := null.  first(N,[_|R]) := first(N,R).  first(N,[(N -> V)|_]) := V.
-        :- backchain with/3.  with(N,V,L) = [N -> V|L].""")
-    assert p.answers('every("ink", stock)') == [({}, (9, 2))] and p.answers('first("ink", stock)') == [({}, 9)]
-    assert p.answers('first("cap", stock)') == [] and p.answers('every("ink", with("ink", 7, stock))') == [({}, (7, 9, 2))]
+        :- backchain spread/1.  spread([]) = [].  spread([(N -> X)|R]) = times(N, X, spread(R)).
+        :- backchain times/3.  times(0,_,R) = R.  times(N,X,R) = [X|times(N-1,X,R)] for N > 0.
+        :- backchain most/1.  most([]) := null.  most([(_ -> X)|_]) := X.  most([(9 -> _)|R]) := most(R).
+        short = [2 -> "a", 0 -> "b", 3 -> "c"].""")
+    assert p.answers("spread(short)") == [({}, ("a", "a", "c", "c", "c"))] and p.answers("spread([])") == [({}, ())]
+    assert p.answers("most(short)") == [({}, "a")] and p.answers("most([])") == []
+    assert p.answers('most([9 -> "x", 1 -> "y"])') == [({}, "y")]
 
 
 def test_keys_follow_their_values(spark):
@@ -267,3 +295,48 @@ def test_save_and_restore(spark, tmp_path):
     p.save(str(tmp_path / "s"))
     q = Program.restore(spark, str(tmp_path / "s"))
     assert q.items("x") == {(1,): 2.5} and q.value("y") == 2 and list(q.rules) == [0, 2]
+
+
+def test_saved_terms_pragmas_and_functions(spark, tmp_path):
+    (tmp_path / "t.lisp").write_text('(S (NP a) "b")')
+    p = Program(spark, "before(X) := g(X) for X in [1].")
+    p.load(f'tree = sexpr("{tmp_path}/t.lisp")')
+    p.register("twice", lambda v: v * 2, "long")
+    p.add(":- dispos g(&).  g(X) := 5 for X in [1].  after(X) := &g(X) for X in [1].  two := twice(4).")
+    want = (p.items("tree"), p.items("before"), p.items("after"))
+    p.save(str(tmp_path / "s"))
+    q = Program.restore(spark, str(tmp_path / "s"), {"twice": lambda v: v * 2})
+    assert q.items("tree") == {(0,): ("S", ("NP", "a"), "b")} and (q.items("tree"), q.items("before"), q.items("after")) == want
+    assert q.value("two") == 8 and q.source_text() == p.source_text()
+
+
+def test_overflow_costs_its_grounding_alone(spark):
+    top = 2**63 - 1
+    p = Program(spark, f"""
+        a(1) := {top}.  a(2) := 5.  a(3) := 0 - {top}.
+        up(K) := a(K) + 1.  down(K) := a(K) - 2.  twice(K) := a(K) * 2.  cube(K) := a(K) ** 3.  far(K) := a(K) ** 3000000000.
+        unit := 1 ** 3000000000.  sign := (0-1) ** 3000000001.  sum += {top}.  sum += 1.  fine += 2.  product *= {top}.  product *= 3.
+        :- backchain next/1.  next(X) = X + 1.  called(K) := next(a(K)).""")
+    assert p.items("up") == {(2,): 6, (3,): 1 - top} and p.items("down") == {(1,): top - 2, (2,): 3}
+    assert p.items("twice") == {(2,): 10} and p.items("cube") == {(2,): 125} and p.items("far") == {}
+    assert (p.value("unit"), p.value("sign"), p.value("sum"), p.value("fine"), p.value("product")) == (1, -1, None, 2, None)
+    assert p.items("called") == {(2,): 6, (3,): 1 - top}
+    assert sum("OverflowError" in r.message for r in p.errors().collect()) >= 7
+
+
+def test_strings_repeat(spark):
+    p = Program(spark, 'x(N) := "ab" * N for N in [0,1,3].  y := 2 * "-".  z := "a" * 99999999999.  w(T) := T * 2 for T in ["q",4,[1]].')
+    assert p.items("x") == {(0,): "", (1,): "ab", (3,): "ababab"} and p.value("y") == "--" and p.value("z") is None
+    assert p.items("w") == {("q",): "qq", (4,): 8}
+
+
+def test_inserts_keep_the_plan(spark):
+    df = spark.createDataFrame([(1, "a")], "k long, s string")
+    p = Program(spark, "n += 1 for seen(K,_).")
+    p.bind("seen", df, ["k", "s"], bag=True)
+    before = p.relation("seen")
+    for i in range(20):
+        p.insert("seen", spark.createDataFrame([(i, "b")], "k int, s string"))
+    assert p.value("n") == 21 and before.count() == 1
+    plan = p.relation("seen")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Union") == 1 and len(p.sources["seen/2"].batches) < 10
