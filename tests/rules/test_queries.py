@@ -60,7 +60,7 @@ def test_reach_covers_all_orders(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     of = {(o, n): p for o, n, p in lines}
     want = closure((p, of[o, n + 1]) for (o, n), p in of.items() if (o, n + 1) in of)
-    got = [tuple(r) for r in QUERIES["q29b_reach_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["q29_reach"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and any(a >= 30 for a, _ in want)
 
 
@@ -81,7 +81,7 @@ def test_parsing_takes_whole_sequences(spark, tmp_path):
             for k in range(i + 1, len(own) + 1):
                 if set(own[i:k]) <= {"view", "purchase"}:
                     want.add((u, i, k, "A"))
-    got = [tuple(r) for r in QUERIES["q32b_cky_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["q32_cky"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -95,14 +95,14 @@ def test_forward_weights_take_whole_sequences(spark, tmp_path):
             if t > 1:
                 x, y = (x * 2 + y) * (len(kind) % 3 + 1), x + y * 3
             want.add((u, t, x % 1000003, y % 1000003))
-    got = [tuple(r) for r in QUERIES["q33b_hmm_forward_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["q33_hmm_forward"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
 def test_string_sums_take_all_customers(spark, tmp_path):
     rows = [(c, c % 3, "abc"[c % 3] + str(c % 7)) for c in range(1, 500)]
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
-    got = dict(tuple(r) for r in QUERIES["q43b_string_sum_all"](spark, str(tmp_path)).collect())
+    got = dict(tuple(r) for r in QUERIES["q43_string_sum"](spark, str(tmp_path)).collect())
     assert got == {n: "".join(sorted(s for _, m, s in rows if m == n)) for n in range(3)}
 
 
