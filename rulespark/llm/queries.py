@@ -82,9 +82,9 @@ hits AS (SELECT DISTINCT r, p, n, item_id FROM pairs),
 runs AS (
   SELECT r, p, n, item_id, a, p - row_number() OVER (PARTITION BY r, item_id, p - a ORDER BY p) AS k FROM pairs),
 matches AS (
-  SELECT r, min(p) - 1 AS at, count(*) + n - 1 AS words, item_id FROM runs GROUP BY r, item_id, p - a, k, n),
+  SELECT r, min(p) - 1 AS spot, count(*) + n - 1 AS words, item_id FROM runs GROUP BY r, item_id, p - a, k, n),
 longest AS (
-  SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, at, item_id) = 1),
+  SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, spot, item_id) = 1),
 covered AS (
   SELECT r, count(DISTINCT k) AS n_hit
   FROM (SELECT r, unnest(range(p, p + n)) AS k FROM (SELECT DISTINCT r, p, n FROM hits)) GROUP BY r),
@@ -94,7 +94,7 @@ met AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_items, 0) >= 2 AS contaminated, CAST(coalesce(words, 0) AS BIGINT) AS longest_match,
-  CAST(coalesce(at, -1) AS BIGINT) AS longest_at, CAST(item_id AS BIGINT) AS longest_item
+  CAST(coalesce(spot, -1) AS BIGINT) AS longest_at, CAST(item_id AS BIGINT) AS longest_item
 FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN met USING (r) LEFT JOIN longest USING (r)
 """
 
