@@ -55,7 +55,10 @@ def main(argv: list[str] | None = None) -> int:
         session = Session(program)
         while True:
             try:
-                print(session.run(input("> ")))
+                line = input("> ")
+                if line.strip() == "paste":
+                    line += "\n" + "\n".join(iter(input, ""))
+                print(session.run(line))
             except (EOFError, SystemExit):
                 break
     return 0

@@ -1,4 +1,4 @@
-"""File loaders: delimited text, matrices, s-expressions and saved programs."""
+"""File loaders: lines, delimited text, matrices, s-expressions and saved programs."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rulespark.functions import types as ty
 from rulespark.lang.ast import RuleError
 
-LOADERS = ("tsv", "matrix", "sexpr", "pickled")
+LOADERS = ("read_lines", "tsv", "matrix", "sexpr", "pickled")
 _COMMAND = re.compile(r"\s*(?:load\s+)?([a-z][A-Za-z0-9_]*)\s*=\s*([a-z][A-Za-z0-9_]*)\s*\((.*)\)\s*\.?\s*\Z", re.DOTALL)
 
 
@@ -34,6 +34,12 @@ def _exists(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"file `{path}` does not exist.")
 
 
+def read_lines(program, name: str, path: str):
+    """name(i) = the i-th line of a file, without white space at its end."""
+    _exists(program.spark, path)
+    return program.bind(name, numbered_lines(program.spark, path), ["line"], "text", aggregator=":=", unique=True)
+
+
 def tsv(program, name: str, path: str, delim: str = "\t"):
     """One true item a line: the line's number, then its fields as strings. Lines of different
     lengths are items of different arities; trailing empty fields vanish with the line's end."""
@@ -102,7 +108,7 @@ def load(program, command: str):
     args, options = literal_arguments(inner)
     if loader == "pickled":
         return type(program).restore(program.spark, *args)
-    return {"tsv": tsv, "matrix": matrix, "sexpr": sexpr}[loader](program, name, *args, **options)
+    return {"read_lines": read_lines, "tsv": tsv, "matrix": matrix, "sexpr": sexpr}[loader](program, name, *args, **options)
 
 
 def literal_arguments(text: str) -> tuple[list, dict]:

@@ -114,6 +114,8 @@ def test_loaders(spark, tmp_path):
     p.load(f'r = tsv("{tmp_path}/t.tsv")')
     p.load(f'm = matrix("{tmp_path}/m.txt")')
     p.load(f'w = matrix("{tmp_path}/m.txt", astype=str)')
+    p.load(f'line = read_lines("{tmp_path}/m.txt")')
+    assert p.items("line") == {(0,): "1 2.5 3", (1,): "4", (2,): "5 6"}
     p.load(f'load tree = sexpr("{tmp_path}/e.txt")')
     assert set(p.items("r/4")) == {(0, "1", "S", "NP VP"), (1, "2", "NP", "Det N"), (4, "0", "X", "y")}
     assert set(p.items("r/2")) == {(2, "")} and set(p.items("r/3")) == {(3, "3", "only two")}
@@ -141,6 +143,18 @@ def test_line_numbers_over_many_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_paste(spark, tmp_path):
+    s = Session(Program(spark))
+    assert "total = 7" in s.run("paste\n total +=\n  part(K)\n  for K > 0.\n part(0) := 9.  part(1) := 3.\n part(2)\n := 4.")
+    assert s.run("paste") == "" and "lines may break" in s.run("help paste")
+    (tmp_path / "in.rules").write_text("a += 1.\n")
+    done = subprocess.run(
+        [sys.executable, "-m", "rulespark", str(tmp_path / "in.rules"), "-i", "--master", "local[1]"],
+        cwd=REPO, capture_output=True, text=True, timeout=180, input="paste\na +=\n 4.\n\nquery a\n",
+    )
+    assert done.returncode == 0 and "a = 5" in done.stdout.split("> ")[-2]
+
+
 def test_posts(spark, tmp_path):
     s = Session(Program(spark, "a += 1.  b := a."))
     assert "b = 1." in s.run("post dump_solution()")
