@@ -242,14 +242,19 @@ class Evaluation:
         self.relations[name] = Relation(name, self.program.shapes[name], held.frame, failed, errors or [], settled=True)
 
     def snapshots(self, names: list[str]) -> None:
-        width = {n: len(self.program.shapes[n].args) for n in names}
+        width, members = {n: len(self.program.shapes[n].args) for n in names}, set(names)
         now = {n: state.empty(self.spark, self.schema(n), width[n]) for n in names}
         for n in names:
             self.put(n, now[n])
+        # Steps at which a relation was last evaluated and last changed: what read no change since is as it was.
+        steps, evaluated, changed = count(), dict.fromkeys(names, -1), dict.fromkeys(names, -1)
         jitter = 0
         for round_ in range(1, self.program.max_rounds + 1):
             moved, worst = False, 0.0
             for n in names:
+                if all(changed[m] < evaluated[n] for m in self.program.edges.get(n, set()) & members):
+                    continue
+                evaluated[n] = next(steps)
                 errors: list = []
                 frames = self.gather(n, errors)
                 failed = None
@@ -260,6 +265,8 @@ class Evaluation:
                     after = state.empty(self.spark, self.schema(n), width[n])
                 differs, change = state.differences(now[n], after, [f"a{i}" for i in range(width[n])])
                 moved, worst = moved or differs, max(worst, change)
+                if differs:
+                    changed[n] = evaluated[n]
                 state.retire([now[n]], [after])
                 now[n] = after
                 self.put(n, after, errors, failed)
