@@ -194,7 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, score, for every row, null ids and texts too."""
+    """``docs(doc_id, text, ...)`` -> doc_id, score, one row per row: repeated rows and null ids too.
+
+    Null texts score as empty ones do; a very long text is read whole; further columns are ignored,
+    and an empty table gives an empty one."""
     held = docs.sparkSession.sparkContext.broadcast(trees)
     arrow_limits(docs.sparkSession)
 

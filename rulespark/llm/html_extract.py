@@ -292,7 +292,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``page`` stands for host and html. Counting combines before the shuffle, so a host with most
     pages is no one task; pages meet the templates by (host, subtree), so that no host's list is
-    held as a whole, and a page's list is no longer than its own subtrees.
+    held as a whole, and a page's list is no longer than its own subtrees. Null html has no
+    subtree, rows that repeat a page count once, and an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -476,7 +476,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spark) -> Column:
-    """The text with every span replaced; null stays null, and an empty text empty."""
+    """The text with every span replaced; null stays null, and an empty or blank text as it is.
+
+    Each row is for itself, so repeated rows and other columns do not matter, and an empty table
+    has nothing to replace. A text is read whole whatever its length."""
     held = spark.sparkContext.broadcast(model())
 
     @F.pandas_udf("string")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from rulespark.llm import decontam, langid, pii, simhash, tokens
@@ -66,6 +67,35 @@ def test_run_applies_all_stages(spark, corpus):
     assert not {120, 110, 100, 101, 102} & {r.doc_id for r in got.collect()}
 
 
+def test_odd_rows_have_the_results_stated(spark, corpus, tmp_path):
+    _, rows, items = corpus
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = " ".join(rows[3][1].split()[:8])
+    hit = f"{items[0][1]} {items[1][1]}"
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n", "en", "s", 3), (None, plain, "en", None, 9), (None, plain, "en", None, 9),
+           (4, hit, "en", "s", 9), (4, hit, "en", "s", 9), (None, hit, None, None, None), (5, "a.b@example.org " + "plain words " * 300_000, "en", "s", 1)]
+    docs = spark.createDataFrame(odd, schema)
+    spark.createDataFrame([*items, items[0], (None, items[2][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda stage: stage(spark, docs, str(tmp_path)).collect()
+    ids = lambda got: sorted((r.doc_id for r in got), key=str)
+
+    assert {r.doc_id for r in run(cp.language_id)} == {None, 4, 5} and len(run(cp.language_id)) == 6
+    assert ids(run(cp.near_duplicates)) == [1, 4, 5, None]
+    assert ids(run(cp.decontamination)) == [1, 2, 3, 5, None, None]
+    cleaned = run(cp.personal_data)
+    assert ids(cleaned) == ids(docs.collect())
+    assert {r.doc_id: r.n_chars for r in cleaned if r.doc_id in (1, 2, 3)} == {1: None, 2: 0, 3: 2}
+    (long,) = (r.text for r in cleaned if r.doc_id == 5)
+    assert long.startswith("[EMAIL] plain words") and len(long) > 3_000_000
+    packed = run(cp.packing)
+    assert sum(r.doc_id == 1 for r in packed) == 1 and sum(r.piece == 0 for r in packed) == len(odd)
+
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language_id(spark, unlabelled, str(tmp_path)).count() == 0
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert cp.decontamination(spark, docs, f"{tmp_path}/none").count() == len(odd)
+
+
 def test_empty_tables(spark, corpus, tmp_path):
     root, *_ = corpus
     for name in ("documents", "benchmark"):
