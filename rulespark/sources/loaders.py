@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import ast as python_ast
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions import types as ty
 from rulespark.lang.ast import RuleError
+from rulespark.operators import state
+from rulespark.runtime import ship
 
 LOADERS = ("read_lines", "tsv", "matrix", "sexpr", "pickled")
 _COMMAND = re.compile(r"\s*(?:load\s+)?([a-z][A-Za-z0-9_]*)\s*=\s*([a-z][A-Za-z0-9_]*)\s*\((.*)\)\s*\.?\s*\Z", re.DOTALL)
@@ -88,13 +92,31 @@ def parse_sexprs(text: str) -> list:
 
 
 def sexpr(program, name: str, path: str):
-    """name(i) = the i-th s-expression as a nested list. Trees are values without a static type."""
-    _exists(program.spark, path)
-    texts = program.spark.read.text(path, wholetext=True).collect()  # one file is one text
-    trees = [tree for r in texts for tree in parse_sexprs(r["value"])]
-    rows = [(i, ty.to_spark(tree, "term")) for i, tree in enumerate(trees)]
-    frame = program.spark.createDataFrame(rows, "i long, tree string")
-    return program.bind_terms(name, frame, ["i"], "tree")
+    """name(i) = the i-th s-expression as a nested list, through all files by name. Trees are values
+    without a static type. Each file is read by one task and written as trees; none comes to the driver."""
+    spark = program.spark
+    _exists(spark, path)
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    trees, failed = [ty.to_spark(t, "term") for t in parse_sexprs(text)], None
+                except RuleError as e:
+                    trees, failed = [None], str(e)
+                n = len(trees)
+                columns = [pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(trees, pa.string()), pa.array([failed] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "own", "tree", "failed"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")  # one file is one text
+    held = state.written(texts.mapInArrow(run, "file string, own long, tree string, failed string"), 2).frame
+    if failed := held.where("failed is not null").orderBy("file").first():
+        raise RuleError(failed["failed"])
+    sizes = held.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return program.bind_terms(name, held.join(shifts, "file").select((F.col("own") + F.col("shift")).alias("i"), "tree"), ["i"], "tree")
 
 
 def load(program, command: str):

@@ -129,6 +129,22 @@ def test_loaders(spark, tmp_path):
             p.load(bad)
 
 
+def test_trees_of_several_files(spark, tmp_path):
+    folder = tmp_path / "trees"
+    folder.mkdir()
+    for name, text in [("b", "(three) four"), ("a", "(one (two))"), ("c", ""), ("d", "; none\n(five)")]:
+        (folder / name).write_text(text)
+    p = Program(spark)
+    p.load(f'tree = sexpr("{folder}")')
+    assert p.items("tree") == {(0,): ("one", ("two",)), (1,): ("three",), (2,): "four", (3,): ("five",)}
+    (folder / "e").write_text("(not closed")
+    with pytest.raises(RuleError, match="not closed"):
+        p.load(f'other = sexpr("{folder}")')
+    (tmp_path / "blank").write_text("")
+    p.load(f'tree = sexpr("{tmp_path}/blank")')
+    assert p.items("tree") == {}
+
+
 def test_line_numbers_over_many_partitions(spark, tmp_path):
     (tmp_path / "n.txt").write_text("\n".join(f"{i} x" for i in range(3000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
