@@ -228,12 +228,13 @@ def assign(rows: DataFrame, placements: list[Placement]) -> DataFrame:
 def ranked(rows: DataFrame) -> DataFrame:
     """Written pieces with ``rank``: 0, 1, ... within each length, by ``part`` and ``nth``. Pieces
     meet the counts of the parts before theirs by (length, part), so a frequent length is spread
-    over as many keys as tasks that cut documents."""
+    over as many keys as tasks that cut documents. The counts, one row a key, are hashed, so that
+    no piece is sorted."""
     sizes = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     own = [c for c in rows.columns if c not in ("part", "nth")]
-    return rows.join(shifts, ["length", "part"]).select(*own, (F.col("nth") + F.col("shift")).alias("rank"))
+    return rows.join(shifts.hint("shuffle_hash"), ["length", "part"]).select(*own, (F.col("nth") + F.col("shift")).alias("rank"))
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

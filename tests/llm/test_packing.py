@@ -184,3 +184,11 @@ def test_matrices_round_trip(spark, tokenizer):
 
 def test_position_ids():
     assert packing.position_ids([0, 3, 4], 6).tolist() == [0, 1, 2, 0, 0, 1]
+
+
+def test_ranks_need_no_sort_of_the_pieces(spark):
+    rows = spark.createDataFrame([(5, p, n) for p in range(3) for n in range(4)] + [(7, 1, 0)], "length long, part int, nth long")
+    spread = bestfit.ranked(rows.repartition(4))
+    assert sorted((r.length, r.rank) for r in spread.collect()) == [(5, k) for k in range(12)] + [(7, 0)]
+    plan = spread._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan, plan
