@@ -361,5 +361,6 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     kinds = dict(rows.dtypes)
-    joined = rows.join(known, "page", "left").select("page_id", "url", "html", "template")
+    # One short row a page: hashed, so that no html is sorted.
+    joined = rows.join(known.hint("shuffle_hash"), "page", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, template_chars long, fallback_chars long")

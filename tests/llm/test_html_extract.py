@@ -132,3 +132,11 @@ def test_templates_match_counting_by_hand(spark):
         if own := known & {*outside, *inside, *others}:
             want[bytes(at)] = own
     assert got == want and len(want) > 30
+
+
+def test_pages_meet_their_templates_without_a_sort(spark):
+    rows = [(i, f"http://a.example/{i}", page(f"<nav>menu</nav><article><p>text {i}</p></article>"), "", 0) for i in range(12)]
+    found = he.extract(spark.createDataFrame(rows, PAGES))
+    assert sorted((r.page_id, r.text, r.template_chars) for r in found.collect()) == [(i, f"text {i}", 4) for i in range(12)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan, plan
