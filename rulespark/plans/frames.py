@@ -12,7 +12,7 @@ from rulespark.functions import types as ty
 from rulespark.functions import values as vals
 from rulespark.functions.evaluator import Goals, peel
 from rulespark.lang.ast import Const, Var
-from rulespark.lang.normal import Call, Test
+from rulespark.lang.normal import Build, Call, Test
 from rulespark.plans.infer import Inference, Unknown
 from rulespark.plans.planner import Plan
 
@@ -259,6 +259,40 @@ class Builder:
             return F.when(F.coalesce(*values).isNotNull(), total), error
         return (F.least if aggregator == "min=" else F.greatest)(*values), error
 
+    def along_list(self, name: str, args: list[tuple[Column, object]], to) -> Column | None:
+        """A predicate that passes down a list, ``f([], A) = ...  f([H|T], A) = f(T, ...)``, as Spark's
+        aggregate over the list: a struct of the value v and the error e. None for any other form."""
+        found = tail_recursion(name, self.goals.plans[name])
+        kinds = [t for _, t in args]
+        if found is None or to in ("term", "null") or not isinstance(kinds[0], tuple) or kinds[0][0] != "list":
+            return None
+        end, step, element, again = found
+        if any(t in ("term", "null") for t in (kinds[0][1], *kinds[1:])):
+            return None
+
+        def held(acc: Column) -> list:
+            return [(acc.getField(f"x{i}"), t) for i, t in enumerate(kinds[1:])]
+
+        def packed(columns: list[Column], error: Column) -> Column:
+            return F.struct(*(c.alias(f"x{i}") for i, c in enumerate(columns)), error.alias("e"))
+
+        def merge(acc: Column, item: Column) -> Column:
+            inner = _Loop(self, {*self.inlining, name})
+            inner.bind((element, *step.rule.args[1:]), [(item, kinds[0][1]), *held(acc)])
+            inner.steps([s for s in step.steps if s.literal is not again and not (s.kind == "peel" and s.literal.out == step.rule.args[0])])
+            return packed(inner.values(again.args[1:], kinds[1:]), inner.error(acc.getField("e")))
+
+        def finish(acc: Column) -> Column:
+            inner = _Loop(self, {*self.inlining, name})
+            inner.bind(end.rule.args[1:], held(acc))
+            inner.steps(end.steps)
+            return F.struct(inner.values((end.rule.value,), [to])[0].alias("v"), inner.error(acc.getField("e")).alias("e"))
+
+        try:
+            return F.aggregate(args[0][0], packed([c for c, _ in args[1:]], F.lit(None).cast("string")), merge, finish)
+        except _NotInline:
+            return None
+
     def call(self, x) -> tuple[Column, object]:
         args = [self.get(a) for a in x.args]
         name = f"{x.op}/{len(x.args)}"
@@ -273,10 +307,15 @@ class Builder:
                 self.note(found[1])
                 self.keep(F.col(own).isNotNull())
                 return F.col(own), to
-            goals, op = self.goals, x.op
-            column, t, error = builtins.through_python(x.op, args, to, lambda *v: goals.call(op, v))
-            held, own = self.name(), self.name()
-            self.frame = self.started().withColumn(held, F.struct(column.alias("v"), error.alias("e")))
+            goals, op, t = self.goals, x.op, to
+            both = self.along_list(name, args, to)
+            if both is None:
+                column, t, error = builtins.through_python(x.op, args, to, lambda *v: goals.call(op, v))
+                both = F.struct(column.alias("v"), error.alias("e"))
+                self.frame = self.started().withColumn(held := self.name(), both)
+            else:  # a generator, so that Spark does not repeat the loop in each filter and projection
+                self.frame = self.started().select("*", F.explode(F.array(both)).alias(held := self.name()))
+            own = self.name()
             self.frame = self.frame.withColumn(own, F.col(held).getField("v"))
             self.note(F.col(held).getField("e"))
             self.keep(F.col(own).isNotNull() & (F.col(own) != "z" if t == "term" else F.lit(True)))
@@ -437,6 +476,30 @@ class Builder:
         return self.sound().select(*out), failed
 
 
+def tail_recursion(name: str, plans: list[Plan]):
+    """(plan of the empty list, plan of a step, the step's element, its call of itself) if the predicate
+    does nothing but pass down its first argument, a list, with the others as what it carries."""
+    if len(plans) != 2 or any(p.rule.aggregator not in ("=", ":=") or p.rule.key is not None for p in plans):
+        return None
+    end, step = sorted(plans, key=lambda p: p.rule.args[0] != Const(()))
+    carried = [p.rule.args[1:] for p in (end, step)]
+    if end.rule.args[0] != Const(()) or any(not all(isinstance(a, Var) for a in own) or len(set(own)) < len(own) for own in carried):
+        return None
+    lists = [x for x in step.rule.literals if isinstance(x, Build) and x.fn is None and x.tail and x.out == step.rule.args[0]]
+    calls = [x for x in step.rule.literals if isinstance(x, Call) and f"{x.op}/{len(x.args)}" == name]
+    if len(lists) != 1 or len(lists[0].args) != 2 or len(calls) != 1:
+        return None
+    (element, rest), again = lists[0].args, calls[0]
+    if not isinstance(element, Var) or not isinstance(rest, Var) or element == rest or {element, rest, step.rule.args[0]} & set(carried[1]):
+        return None
+    if again.args[0] != rest or again.out != step.rule.value or not isinstance(again.out, Var):
+        return None
+    used = [o for x in step.rule.literals for o in (*getattr(x, "args", ()), *(getattr(x, n, None) for n in ("out", "what", "left", "right")))]
+    if used.count(rest) != 2 or used.count(again.out) != 1 or used.count(step.rule.args[0]) != 1:
+        return None
+    return end, step, element, again
+
+
 class _NotInline(Exception):
     pass
 
@@ -475,4 +538,60 @@ class _Inline(Builder):
         return self.condition, ty.coerce(value, t, to)
 
 
+class _Loop(Builder):
+    """One rule of a predicate within a lambda: nothing may become a column of the frame, run in
+    Python or leave the rule without a value."""
+
+    NATIVE = {"+", "-", "*", "/", "mod", "abs"}
+
+    def __init__(self, outer: Builder, inlining: set[str]):
+        super().__init__(outer.spark, outer.relations, outer.inference, outer.goals, outer.functions)
+        self.inlining = inlining
+        self.failures: list[Column] = []
+
+    def bind(self, operands: tuple, columns: list) -> None:
+        self.env |= {o.name: c for o, c in zip(operands, columns, strict=True)}
+
+    def steps(self, steps: list) -> None:
+        for s in steps:
+            if s.kind == "test" and s.literal.what == Const(True):
+                continue
+            if s.kind not in ("let", "alias", "solve", "build", "peel"):
+                raise _NotInline
+            try:
+                getattr(self, s.kind)(s)
+            except Failed:
+                raise _NotInline from None
+
+    def values(self, operands: tuple, kinds: list) -> list[Column]:
+        found = [self.get(o) for o in operands]
+        if any(ty.unify(t, to) != to for (_, t), to in zip(found, kinds, strict=True)):
+            raise _NotInline
+        return [ty.coerce(c, t, to) for (c, t), to in zip(found, kinds, strict=True)]
+
+    def error(self, before: Column) -> Column:
+        """The first error: the one carried so far, or one of these steps."""
+        return F.coalesce(before, *self.failures, *(F.when(s, F.lit(builtins.OVERFLOW)) for s in self.soft))
+
+    def set(self, var: Var, column: Column, t, lazy: bool = False) -> None:
+        if t in ("term", "null"):
+            raise _NotInline
+        self.env[var.name] = (column, t)
+
+    def started(self) -> DataFrame:
+        raise _NotInline
+
+    def keep(self, condition: Column) -> None:
+        raise _NotInline
+
+    def note(self, error: Column | None) -> None:
+        if error is not None:
+            self.failures.append(error)
+
+    def apply(self, op: str, args: list[tuple[Column, object]]) -> tuple[Column, object, Column | None]:
+        if op not in self.NATIVE or op in self.functions or any(t not in ty.NUMERIC for _, t in args):
+            raise _NotInline
+        return super().apply(op, args)
+
+
 __all__ = ["Builder", "Failed", "Unknown"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions import types as ty
-from rulespark.operators.state import scratch
+from rulespark.operators.state import scratch, written
 from rulespark.session.program import Program
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,23 +471,40 @@ SELECT u AS user, t, x AS warm, y AS cold FROM a
 def q33_hmm_forward(spark, sf_dir):
     """Forward weights along all of each user's events, modulo 1,000,003 so that none overflows.
 
-    Products of steps over W events, W a power of two, are folded from two of half the length, and
-    a weight takes one product for each bit of its position: rounds grow with the length's logarithm.
+    Events after the first go in chunks of 256. ``over`` is the matrix of a chunk, ``trail`` its weights
+    from those it starts with; both pass down the chunk's list. Where sequences have several chunks,
+    products over W chunks, W a power of two, are folded from two of half the length, and a chunk's
+    start takes one product for each bit of its number: rounds grow with the length's logarithm.
     """
     sequence = _sequence(Tables(spark, sf_dir)["events"]).withColumn("k", (F.length("event_type") % 3 + 1).cast("long"))
-    sequence = sequence.withColumn("n", F.col("t") - 1).withColumn("low", F.col("n").bitwiseAND(-F.col("n")))
+    sequence = sequence.withColumn("n", F.col("t") - 1).withColumn("c", F.floor((F.col("n") - 1) / 256))
+    sequence = written(sequence.select("user_id", "n", "c", "k"), 2).frame
     p = Program(spark, """
-        step("h","h") := 2.  step("c","h") := 1.  step("h","c") := 1.  step("c","c") := 3.
-        emit("h",K) := K for obs(_,_,_,K).  emit("c",K) := 1 for obs(_,_,_,K).
-        product(U,1,N,R,S) += step(R,S) * emit(S,K) for obs(U,N,_,K), N > 0.
-        product(U,2*W,N,R,S) += block(U,W,N-W,R,X) * block(U,W,N,X,S) for mod(N,2*W) == 0.
-        block(U,W,N,R,S) := mod(product(U,W,N,R,S), 1000003).
-        weight(U,0,"h") += K for obs(U,0,_,K).
-        weight(U,0,"c") += 1 for obs(U,0,_,_).
-        weight(U,N,S) += alpha(U,N-W,R) * block(U,W,N,R,S) for obs(U,N,W,_), N > 0.
-        alpha(U,N,S) := mod(weight(U,N,S), 1000003).
-        out(U,N+1,alpha(U,N,"h"),alpha(U,N,"c")).""")
-    p.bind("obs", sequence, ["user_id", "n", "low", "k"], unique=True)
+        :- backchain over/5.
+        over([], A, B, C, D) = &m(A,B,C,D).
+        over([pair(_,K)|T], A, B, C, D) = over(T, mod((2*A+B)*K,1000003), mod(A+3*B,1000003), mod((2*C+D)*K,1000003), mod(C+3*D,1000003)).
+        :- backchain trail/4.
+        trail([], _X, _Y, L) = L.
+        trail([pair(N,K)|T], X, Y, L) = trail(T, V, W, [&at(N,V,W)|L]) for V is mod((2*X+Y)*K,1000003), W is mod(X+3*Y,1000003).
+        part(U,C) bag= pair(N,K) for obs(U,N,C,K), N > 0.
+        initial(U) = K for obs(U,0,_,K).
+        later(U,C,W) :- chunk(U,C,W), C > 0.
+        link(U,C) = over(part(U,C-1),1,0,0,1) for later(U,C,_).
+        product(U,1,C,"h","h") += X for m(X,_,_,_) is link(U,C).
+        product(U,1,C,"h","c") += X for m(_,X,_,_) is link(U,C).
+        product(U,1,C,"c","h") += X for m(_,_,X,_) is link(U,C).
+        product(U,1,C,"c","c") += X for m(_,_,_,X) is link(U,C).
+        product(U,2*W,C,R,S) += block(U,W,C-W,R,X) * block(U,W,C,X,S) for mod(C,2*W) == 0.
+        block(U,W,C,R,S) := mod(product(U,W,C,R,S), 1000003).
+        weight(U,0,"h") += initial(U).
+        weight(U,0,"c") += 1 for _ is initial(U).
+        weight(U,C,S) += alpha(U,C-W,R) * block(U,W,C,R,S) for later(U,C,W).
+        alpha(U,C,S) := mod(weight(U,C,S), 1000003).
+        out(U,1,alpha(U,0,"h"),alpha(U,0,"c")).
+        out(U,N+1,V,W) :- Ks is part(U,C), X is alpha(U,C,"h"), Y is alpha(U,C,"c"), P in trail(Ks,X,Y,[&at(256*C,X,Y)]), at(N,V,W) is P.""")
+    p.bind("obs", sequence, ["user_id", "n", "c", "k"], unique=True)
+    starts = sequence.where("n > 0 and (n - 1) % 256 = 0").withColumn("low", F.col("c").bitwiseAND(-F.col("c")))
+    p.bind("chunk", starts, ["user_id", "c", "low"], unique=True)
     return p.relation("out", "user", "t", "warm", "cold").drop("value")
 
 

@@ -340,3 +340,20 @@ def test_inserts_keep_the_plan(spark):
     assert p.value("n") == 21 and before.count() == 1
     plan = p.relation("seen")._jdf.queryExecution().analyzed().toString()
     assert plan.count("Union") == 1 and len(p.sources["seen/2"].batches) < 10
+
+
+def test_recursion_down_a_list_runs_without_python(spark):
+    p = Program(spark, """
+        :- backchain total/2.  total([], S) = S.  total([pair(_,X)|T], S) = total(T, S + X * 2).
+        :- backchain back/2.   back([], L) = L.   back([pair(N,X)|T], L) = back(T, [&at(N,Y)|L]) for Y is mod(X, 7).
+        all(U) bag= pair(N,X) for obs(U,N,X).
+        sum(U) = total(all(U), 1).
+        last(U) = back(all(U), [&at(0,0)]).""")
+    rows = [(1, n, n * n) for n in range(1, 300)] + [(2, 1, 1 << 61), (2, 2, 1 << 61), (2, 3, 5), (3, 1, -4)]
+    p.bind("obs", spark.createDataFrame(rows, "u long, n long, x long"), ["u", "n", "x"], unique=True)
+    for name in ("sum", "last"):
+        assert "Python" not in p.relation(name)._jdf.queryExecution().executedPlan().toString()
+    assert p.items("sum") == {(1,): 1 + 2 * sum(n * n for n in range(1, 300)), (3,): -7}
+    assert [r["message"] for r in p.errors().where("functor like 'sum/%'").collect()] == ["OverflowError: the result is no 64-bit integer"]
+    got = {u[0]: [tuple(x.args) for x in v] for u, v in p.items("last").items()}
+    assert got[1] == [(n, n * n % 7) for n in range(299, 0, -1)] + [(0, 0)] and got[3] == [(1, 3), (0, 0)]
