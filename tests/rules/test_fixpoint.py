@@ -1,9 +1,10 @@
 import pyarrow.parquet as pq
 import random
+from collections import Counter
 
 import pytest
 
-from rulespark.operators import state
+from rulespark.operators import closure, state
 from rulespark.operators.fixpoint import components
 from rulespark.session.program import Program
 
@@ -77,3 +78,59 @@ def test_long_chains_are_closed_or_refused(spark):
         p.bind("e", edges, ["a", "b"], bag=True)
         with pytest.raises(RuntimeError, match="not settled after 4 rounds"):
             p.items(text[0])
+
+
+def _closure(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for a in after:
+        ready, seen = [a], set()
+        while ready:
+            fresh = after.get(ready.pop(), set()) - seen
+            seen |= fresh
+            ready += fresh
+        out |= {(a, b) for b in seen}
+    return out
+
+
+def test_large_closures_go_by_classes(spark):
+    """Three knots of 250, the first before the second; behind that a chain with a loop; a pair apart; an edge twice."""
+    draw = random.Random(5)
+    edges = {(1000 * g + i, 1000 * g + (i + draw.choice((1, 7, 50, 121))) % 250) for g in (0, 1, 2) for i in range(250) for _ in range(6)}
+    edges |= {(1000 * g + i, 1000 * g + (i + 1) % 250) for g in (0, 1, 2) for i in range(250)}
+    edges |= {(3, 1004), (1009, 5000), (5003, 5003), (7000, 7001)} | {(5000 + i, 5001 + i) for i in range(8)}
+    p = Program(spark, "edge(A,B) :- link(A,B).  reach(A,B) :- edge(A,B).  reach(A,C) :- reach(A,B), edge(B,C).  to(A) += 1 for reach(A,_).")
+    p.bind("link", spark.createDataFrame([*edges, (7000, 7001)], "a long, b long"), ["a", "b"], bag=True)
+    got, want = [tuple(r)[:2] for r in p.relation("reach").collect()], _closure(edges)
+    assert len(edges) > state.SMALL and len(got) == len(want) and set(got) == want
+    assert p.evaluation.rounds["reach/2"] == 1
+    assert p.items("to") == {(a,): n for a, n in Counter(a for a, _ in want).items()}
+
+
+@pytest.mark.parametrize("rounds", [2, 30])
+def test_closures_with_and_without_classes_are_equal(spark, monkeypatch, rounds):
+    monkeypatch.setattr(state, "SMALL", 5)
+    monkeypatch.setattr(closure, "ROUNDS", rounds)
+    edges = {("d", "c"), ("c", "b"), ("b", "d"), ("b", "e"), ("e", "f"), ("f", "g"), ("g", "h"), ("h", "h"), ("x", "y"), ("y", "x")}
+    p = Program(spark, "edge(A,B) :- link(A,B).  reach(A,B) :- edge(A,B).  reach(A,C) :- edge(A,B), reach(B,C).")
+    p.bind("link", spark.createDataFrame(sorted(edges), "a string, b string"), ["a", "b"], bag=True)
+    got, want = [tuple(r)[:2] for r in p.relation("reach").collect()], _closure(edges)
+    assert len(got) == len(want) and set(got) == want
+    assert (p.evaluation.rounds["reach/2"] == 1) == (rounds == 30)
+
+
+def test_what_counts_as_a_closure(spark):
+    def matched(text):
+        p = Program(spark, "edge(1,2).  other(1,2).  edge(A,B) :- other(A,B).  " + text)
+        return closure.match("reach/2", [x.rule for x in p.compiled.plans.get("reach/2", [])], p.compiled.aggregators)
+
+    base, step = "reach(A,B) :- edge(A,B).  ", "reach(A,C) :- reach(A,B), edge(B,C)."
+    assert {matched(base + x) for x in (step, "reach(A,C) :- edge(A,B), reach(B,C).", "reach(A,C) :- reach(A,B), reach(B,C).")} == {"edge/2"}
+    for text in (
+        base, base + "reach(A,C) :- reach(A,B), other(B,C).", base + "reach(A,C) :- reach(B,A), edge(B,C).", base + "reach(C,A) :- reach(A,B), edge(B,C).",
+        base + step + " reach(7,8).", base + "reach(A,C) :- reach(A,B), edge(B,C), C < 5.", base + "reach(A,C) :- reach(A,B), edge(B,C), other(B,C).",
+        "reach(A,B) :- edge(B,A).  " + step, "reach(A,A) :- edge(A,A).  " + step, base + "reach(A,1) :- reach(A,B), edge(B,1).", base + "reach(A,A) :- reach(A,B), edge(B,A).",
+    ):
+        assert matched(text) is None, text
